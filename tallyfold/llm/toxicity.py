@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .common import remainder_of_id, unit_hash
 
 #: The training sample: documents with label 1 and with label 0, and words of a document, at most.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_WORDS = 3000, 6000, 1000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_WORDS = 2000, 6000, 500
 BUCKETS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5, 6)
 #: Words whose embeddings are averaged; a document is as toxic as its most toxic window.
 WINDOW = 6
-ROUNDS_ALL, ROUNDS_MAX = 25, 75
+ROUNDS_ALL, ROUNDS_MAX, FOLDS = 15, 45, 2
 THRESHOLD = 0.3
 MOST_WORDS = 400_000
 
@@ -29,8 +29,7 @@ class Model:
     table: np.ndarray
     rows: np.ndarray
     bias: np.ndarray
-    slope: float
-    shift: float
+    scale: tuple[float, float, float]
 
     def subword_logits(self) -> np.ndarray:
         """What each subword adds to the difference of the two logits; averages of these are windows' logits."""
@@ -70,57 +69,77 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def window_sums(z: np.ndarray, ends: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means of all windows of documents laid end to end, and their first and last words.
+def windows(ends: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and past-the-last words, and documents, of all windows of documents laid end to end.
 
     A document of fewer words is one window; ends: where documents end, each with a word at least.
     """
-    total = np.concatenate([[0.0], np.cumsum(z)])
     begin = np.concatenate([[0], ends[:-1]])
-    first = np.arange(len(z))
     owner = np.repeat(np.arange(len(ends)), ends - begin)
+    first = np.arange(len(owner))
     last = np.minimum(first + width, ends[owner])
     on = (first + width <= ends[owner]) | (first == begin[owner])
-    first, last = first[on], last[on]
-    return (total[last] - total[first]) / (last - first), first, last
+    return first[on], last[on], owner[on]
 
 
-def train(texts: list[list[str]], toxic: np.ndarray, seed: int = 0) -> Model:
+def train(texts: list[list[str]], toxic: np.ndarray, share: float | None = None, seed: int = 0) -> Model:
     """Embeddings and softmax by Adam on whole passes.
 
     First every window has its document's label; then only the window that the model holds for the most toxic
     of its document has it, and by and by the words that make documents toxic stand out. All sums over
-    windows run over subwords, as a word's vector is the mean of its subwords' vectors.
+    windows run over subwords, as a word's vector is the mean of its subwords' vectors. Scores are made
+    probabilities on documents that the model which scored them has not seen; share: of toxic documents in all
+    labelled ones, if the sample's is another.
     """
-    rng = np.random.default_rng(seed)
-    model = Model((rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH).astype(np.float64), rng.uniform(-0.1, 0.1, (2, WIDTH)), np.zeros(2), 1.0, 0.0)
     kept = [i for i, t in enumerate(texts) if t]
-    y = toxic[kept].astype(np.float64)
+    texts, y = [texts[i] for i in kept], toxic[kept].astype(np.float64)
     if not len(y) or y.min() == y.max():
-        rate = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.0
-        return Model(model.table * 0, model.rows * 0, model.bias, 0.0, float(np.log(max(rate, 1e-3) / (1 - min(rate, 0.999)))))
+        rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
+        return Model(np.zeros((BUCKETS, WIDTH)), np.zeros((2, WIDTH)), np.zeros(2), (0.0, 0.0, float(np.log(max(rate, 1e-3) / (1 - min(rate, 0.999))))))
+    model = _train(texts, y, seed)
+    folds = np.arange(len(y)) % FOLDS
+    tops = np.zeros(len(y))
+    for f in range(FOLDS):
+        rest = np.flatnonzero(folds != f)
+        own = np.flatnonzero(folds == f)
+        if len(own) == 0 or y[rest].min() == y[rest].max():
+            continue
+        part = _train([texts[i] for i in rest], y[rest], seed)
+        tops[own] = Scorer(part.subword_logits(), part.bias, part.scale).tops([" ".join(texts[i]) for i in own])[0]
+    own_share = y.mean()
+    share = own_share if share is None else min(max(share, 1e-4), 1 - 1e-4)
+    weight = np.where(y > 0, share / own_share, (1 - share) / (1 - own_share))
+    model.scale = calibrate(tops, np.array([len(t) for t in texts]), y, weight)
+    return model
+
+
+def _train(texts: list[list[str]], y: np.ndarray, seed: int) -> Model:
+    rng = np.random.default_rng(seed)
+    model = Model(rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH, rng.uniform(-0.1, 0.1, (2, WIDTH)), np.zeros(2), (1.0, 0.0, 0.0))
     vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for i in kept for w in texts[i]], np.int64)
-    ends = np.cumsum([len(texts[i]) for i in kept])
+    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t], np.int64)
+    ends = np.cumsum([len(t) for t in texts])
     buckets, starts = subwords(list(vocabulary))
     sizes = np.diff(np.append(starts, len(buckets)))
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    all_first, all_last, all_owner = windows(ends)
+    begin = np.searchsorted(all_owner, np.arange(len(y)))
     values = [model.table, model.rows, model.bias]
     first_m, second_m = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     for step in range(1, ROUNDS_ALL + ROUNDS_MAX + 1):
         u = model.rows[1] - model.rows[0]
-        z = word_means(model.subword_logits(), buckets, starts)[ids]
-        means, first, last = window_sums(z, ends)
-        owner = np.searchsorted(ends, first, side="right")
+        total = np.concatenate([[0.0], np.cumsum(word_means(model.subword_logits(), buckets, starts)[ids])])
+        first, last, owner = all_first, all_last, all_owner
+        means = (total[last] - total[first]) / (last - first)
         if step > ROUNDS_ALL:
-            order = np.lexsort((-means, owner))
-            top = order[np.concatenate([[True], np.diff(owner[order]) > 0])]
+            best = np.flatnonzero(means == np.maximum.reduceat(means, begin)[owner])
+            top = best[np.searchsorted(owner[best], np.arange(len(y)))]
             means, first, last, owner = means[top], first[top], last[top], owner[top]
         share = weight[owner] / np.bincount(owner, minlength=len(y))[owner]
         p = 1 / (1 + np.exp(-(means + model.bias[1] - model.bias[0])))
         g = (p - y[owner]) * share
         per = g / (last - first)
-        edge = np.bincount(first, per, len(z) + 1) - np.bincount(last, per, len(z) + 1)
+        edge = np.bincount(first, per, len(ids) + 1) - np.bincount(last, per, len(ids) + 1)
         by_word = np.bincount(ids, np.cumsum(edge)[:-1], len(starts)) / sizes
         by_bucket = np.bincount(buckets, np.repeat(by_word, sizes), BUCKETS)
         d_u = by_bucket @ model.table
@@ -129,39 +148,39 @@ def train(texts: list[list[str]], toxic: np.ndarray, seed: int = 0) -> Model:
             m += 0.1 * (d - m)
             s += 0.02 * (d * d - s)
             v -= 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.98**step)) + 1e-9)
-    tops = np.maximum.reduceat(window_sums(word_means(model.subword_logits(), buckets, starts)[ids], ends)[0], _first_windows(ends)) + model.bias[1] - model.bias[0]
-    model.slope, model.shift = calibrate(tops, y)
     return model
 
 
-def _first_windows(ends: np.ndarray, width: int = WINDOW) -> np.ndarray:
-    counts = np.maximum(np.diff(np.concatenate([[0], ends])) - width + 1, 1)
-    return np.concatenate([[0], np.cumsum(counts)[:-1]])
+def features(tops: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """A longer text has more windows, so its largest logit says less."""
+    return np.stack([tops, np.log1p(n_words), np.ones(len(tops))], axis=1)
 
 
-def calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that turn documents' largest logits into probabilities, by Newton's method."""
-    x = np.stack([logits, np.ones_like(logits)], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+def calibrate(tops: np.ndarray, n_words: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Weights of the features that make probabilities of them, by Newton's method with a small penalty."""
+    x, start = features(tops, n_words), np.array([1.0, 0.0, 0.0])
+    w, penalty = start.copy(), 1e-3 * np.array([1.0, 1.0, 1e-3])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) / len(y) + 1e-3 * np.array([w[0] - 1, 0])
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + 1e-3 * np.eye(2)
-        move = np.linalg.solve(hess, grad)
-        w -= np.clip(move, -1, 1)
+        grad = x.T @ (weight * (p - y)) / len(y) + penalty * (w - start)
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + np.diag(penalty)
+        move = np.clip(np.linalg.solve(hess, grad), -1, 1)
+        w -= move
         if np.abs(move).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return float(w[0]), float(w[1]), float(w[2])
 
 
 class Scorer:
     """Scores of whole texts; the subwords of a word are looked up once."""
 
-    def __init__(self, model: Model) -> None:
-        self.logits, self.model, self.memo = model.subword_logits(), model, {}
+    def __init__(self, logits: np.ndarray, bias: np.ndarray, scale: tuple[float, float, float]) -> None:
+        self.logits, self.shift, self.scale = logits, bias[1] - bias[0], np.array(scale)
+        self.memo: dict[str, int] = {}
         self.words = np.zeros(0)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def tops(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The largest logit of a window of each text, neutral without words, and the texts' words."""
         memo, new, rows = self.memo, [], []
         if len(memo) > MOST_WORDS:
             memo.clear()
@@ -184,19 +203,22 @@ class Scorer:
                 total = np.concatenate([[0.0], np.cumsum(z)])
                 n = min(WINDOW, len(row))
                 top[i] = (total[n:] - total[:-n]).max() / n
-        m = self.model
-        x = m.slope * (top + m.bias[1] - m.bias[0]) + m.shift
+        return top + self.shift, np.array([len(row) for row in rows])
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        x = features(*self.tops(texts)) @ self.scale
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[list[str]], np.ndarray]:
-    """Texts and labels from a bounded sample of labelled rows that are not held out, chosen by a hash.
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[list[str]], np.ndarray, float | None]:
+    """Texts, labels and the share of toxic documents in all labelled ones, from a bounded sample of labelled rows that are not held out, chosen by a hash.
 
     A document with several labels is toxic if one says so. Of each text TRAIN_WORDS words in a row at most are used, from a hashed
     place on: the fit is bounded, scores are not.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder_of_id() != 2))
     known = known.groupBy(F.col("doc_id").alias("_tx_id")).agg(F.max(F.col("toxic").cast("int")).alias("_tx_toxic"))
+    share = known.agg(F.avg("_tx_toxic")).first()[0]
     order = [F.md5(F.col("_tx_id").cast("string").cast("binary")), "_tx_id"]
     some = known.where("_tx_toxic = 1").orderBy(*order).limit(TRAIN_TOXIC).unionByName(known.where("_tx_toxic = 0").orderBy(*order).limit(TRAIN_CLEAN))
     words = F.split(F.col("text"), r"\s+")
@@ -205,7 +227,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[list[str]]
     joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_tx_id"))
     rows = joined.where(F.col("text").isNotNull()).select("_tx_id", F.array_join(words, " ").alias("words"), "_tx_toxic").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN)).collect()
     rows.sort(key=lambda r: (r["_tx_id"], r["words"]))
-    return [words_of(r["words"]) for r in rows], np.array([r["_tx_toxic"] for r in rows], np.int64)
+    return [words_of(r["words"]) for r in rows], np.array([r["_tx_toxic"] for r in rows], np.int64), share
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -218,12 +240,11 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     The score depends on the text alone. Texts that are null or have no word get the score of a neutral window.
     Whole texts of any length are read; columns other than doc_id and text are not.
     """
-    parts = (model.table, model.rows, model.bias, model.slope, model.shift)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(*parts).subword_logits().astype(np.float32))
+    bias, scale = model.bias, model.scale
+    shared = docs.sparkSession.sparkContext.broadcast(model.subword_logits().astype(np.float32))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer.__new__(Scorer)
-        scorer.logits, scorer.model, scorer.memo, scorer.words = shared.value, Model(None, None, *parts[2:]), {}, np.zeros(0)
+        scorer = Scorer(shared.value, bias, scale)
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
