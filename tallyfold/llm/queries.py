@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, language_id, mixing, packing, quality_rules, token_counts, toxicity
+from . import hilbert_shards, language_id, mixing, ngram_join, packing, pii, quality_rules, token_counts, toxicity
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -34,15 +38,34 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_token_counts, op8_hilbert_shards, op10_language_id)
+    f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_token_counts, op8_hilbert_shards, op9_pii, op10_language_id)
 }
 
+#: All pairs that share a shingle, by exact sets of words.
+NGRAM_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, unnest(case when len(words) < 5 then [words] else list_transform(range(1, len(words) - 3), i -> words[i:i + 4]) end) as shingle
+      from d where len(words) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+ids as (select doc_id, dense_rank() over (order by shingle) as g from s),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as common from ids a join ids b using (g) where a.doc_id != b.doc_id group by all),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 1000 * common >= 800 * (x.n + y.n - common)),
+reach as (select doc_id as a, doc_id as b from documents union select reach.a, links.b from reach join links on links.a = reach.b)
+select doc_id, min(reach.b) as class_id, (select count(*) from links where links.a = doc_id) as n_links
+from documents join reach on reach.a = doc_id group by doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.mix_sql(),
+    "op2_ngram_join": NGRAM_SQL,
     "op3_quality_rules": quality_rules.quality_sql(),
 }
