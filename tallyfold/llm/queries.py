@@ -53,7 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: All pairs that share a shingle, by exact sets of words.
 NGRAM_SQL = r"""
 with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
-s as (select distinct doc_id, unnest(case when len(words) < 5 then [words] else list_transform(range(1, len(words) - 3), i -> words[i:i + 4]) end) as shingle
+s as (select distinct doc_id, unnest(case when len(words) < 5 then [words] else [words[i:i + 4] for i in range(1, len(words) - 3)] end) as shingle
       from d where len(words) > 0),
 n as (select doc_id, count(*) as n from s group by doc_id),
 ids as (select doc_id, dense_rank() over (order by shingle) as g from s),
