@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, language_id, mixing, ngram_join, packing, pii, quality_rules, token_counts, toxicity
+from . import hilbert_shards, language_id, mixing, ngram_join, nn_descent, packing, pii, quality_rules, token_counts, toxicity
 from .common import read_table
 
 
@@ -34,6 +34,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest_report(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_token_counts, op8_hilbert_shards, op9_pii, op10_language_id)
+    f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_token_counts, op7_nn_descent, op8_hilbert_shards, op9_pii, op10_language_id)
 }
 
 #: All pairs that share a shingle, by exact sets of words.
