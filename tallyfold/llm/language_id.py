@@ -176,6 +176,8 @@ class Scorer:
         self.sums = np.concatenate([self.sums, rows])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.net.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
         memo, new, places = self.memo, [], []
         if len(memo) > MOST_WORDS:
             memo.clear()
@@ -198,7 +200,7 @@ class Scorer:
         out = []
         for row in places:
             total = self.sums[row].sum(axis=0, dtype=np.float64) if len(row) else np.zeros(1)
-            if total[-1] == 0 or not self.net.langs:
+            if total[-1] == 0:
                 out.append((UNKNOWN, 0.0))
                 continue
             p = total[:-1] / total[-1]
