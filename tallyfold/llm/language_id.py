@@ -20,7 +20,8 @@ HIDDEN, EPOCHS, BATCH = 12, 2, 256
 SPAN = 32
 MOST_WORDS = 400_000
 UNKNOWN = "und"
-REJECT_BELOW = 0.5
+#: A share near that of chance; anything clearer is a language.
+REJECT_BELOW = 0.3
 
 
 @dataclass

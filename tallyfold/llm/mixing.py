@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, unit_hash, write_table
 
 #: Sweeps of the raking, and the power that tempers present shares into default targets.
-SWEEPS, TEMPER = 8, 0.7
+SWEEPS, TEMPER = 8, 0.9
 #: Up to so many cells the raking runs in one task and the factors are broadcast.
 FEW_CELLS = 50_000
 SALTS = 32
