@@ -9,6 +9,7 @@ from ..functions.keys import canonical_key, fact_key
 from ..functions.numbers import normalize_unit, scale_known, to_base_value, values_equal
 from ..functions.periods import UNKNOWN, period_key, period_or_dates
 from ..schemas import CANDIDATE, ENVELOPE, ESTIMATE_TYPES, QUOTE_SOURCES, VALUE_KINDS
+from ..tables import stored
 from .classify import plausibility_flags
 from .ground import verify_quotes
 
@@ -49,7 +50,7 @@ def build_facts(found: DataFrame, pages: DataFrame, documents: DataFrame, first_
     """Facts of the fit candidates, with evidence, normalised values, keys, flags and duplicates marked.
 
     pages: document_id, page_index, label, text. documents: document_id, publication_date, fiscal_year_start_month (null: the
-    default). Ids rise with document, page and ordinal from ``first_id`` on, as ranks of sorted partitions.
+    default). Ids rise with document, page and ordinal from ``first_id`` on.
     """
     fit = found.where(F.col("problem").isNull()).drop("problem", "raw")
     rows = fit.join(pages.select("document_id", "page_index", F.col("label").alias("page_label"), F.col("text").alias("_page")), ["document_id", "page_index"])
@@ -88,15 +89,16 @@ def build_facts(found: DataFrame, pages: DataFrame, documents: DataFrame, first_
 
 
 def numbered(rows: DataFrame, order: list[str], first_id: int = 1) -> DataFrame:
-    """Rows with consecutive ids in an order: counts of documents come before, so no task sorts all rows.
+    """Rows with consecutive ids in an order.
 
-    order: its first column groups the rows; a group's rows are numbered together.
+    Rows are dealt by ranges of the order, which splits large documents too. A row's id is its place in its range after
+    the rows of earlier ranges; only the ranges' counts, a row each, meet in one task.
     """
-    head = order[0]
-    counts = rows.groupBy(head).agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(head, (F.sum("_n").over(Window.orderBy(head)) - F.col("_n")).alias("_start"))
-    place = F.row_number().over(Window.partitionBy(head).orderBy(*order[1:]))
-    return rows.join(starts, head).withColumn("id", F.col("_start") + place + (first_id - 1)).drop("_start")
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + place + (first_id - 1)).drop("_part", "_start")
 
 
 def mark_duplicates(facts: DataFrame) -> DataFrame:
