@@ -65,6 +65,28 @@ def word_means(values: np.ndarray, buckets: np.ndarray, starts: np.ndarray) -> n
     return np.add.reduceat(values[buckets], starts) / sizes
 
 
+class Bags:
+    """Subwords of many words, in chunks of words, so what is worked on at once is small."""
+
+    def __init__(self, words: list[str], chunk: int = 20_000) -> None:
+        self.words, self.chunks = len(words), []
+        for i in range(0, len(words), chunk):
+            buckets, starts = subwords(words[i : i + chunk])
+            sizes = np.diff(np.append(starts, len(buckets)))
+            self.chunks.append((slice(i, i + len(starts)), buckets.astype(np.int32), starts, sizes))
+
+    def means(self, values: np.ndarray) -> np.ndarray:
+        """The mean of each word's subwords' values."""
+        return np.concatenate([word_means(values, buckets, starts) for _, buckets, starts, _ in self.chunks])
+
+    def spread(self, by_word: np.ndarray) -> np.ndarray:
+        """For each subword the sum of what its words hand to it, in equal parts to all their subwords."""
+        total = np.zeros(BUCKETS)
+        for at, buckets, _, sizes in self.chunks:
+            total += np.bincount(buckets, np.repeat(by_word[at] / sizes, sizes), BUCKETS)
+        return total
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -117,10 +139,9 @@ def _train(texts: list[list[str]], y: np.ndarray, seed: int) -> Model:
     rng = np.random.default_rng(seed)
     model = Model(rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH, rng.uniform(-0.1, 0.1, (2, WIDTH)), np.zeros(2), (1.0, 0.0, 0.0))
     vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t], np.int64)
+    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t), np.int64)
     ends = np.cumsum([len(t) for t in texts])
-    buckets, starts = subwords(list(vocabulary))
-    sizes = np.diff(np.append(starts, len(buckets)))
+    bags = Bags(list(vocabulary))
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     all_first, all_last, all_owner = windows(ends)
     begin = np.searchsorted(all_owner, np.arange(len(y)))
@@ -128,7 +149,7 @@ def _train(texts: list[list[str]], y: np.ndarray, seed: int) -> Model:
     first_m, second_m = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     for step in range(1, ROUNDS_ALL + ROUNDS_MAX + 1):
         u = model.rows[1] - model.rows[0]
-        total = np.concatenate([[0.0], np.cumsum(word_means(model.subword_logits(), buckets, starts)[ids])])
+        total = np.concatenate([[0.0], np.cumsum(bags.means(model.subword_logits())[ids])])
         first, last, owner = all_first, all_last, all_owner
         means = (total[last] - total[first]) / (last - first)
         if step > ROUNDS_ALL:
@@ -140,8 +161,7 @@ def _train(texts: list[list[str]], y: np.ndarray, seed: int) -> Model:
         g = (p - y[owner]) * share
         per = g / (last - first)
         edge = np.bincount(first, per, len(ids) + 1) - np.bincount(last, per, len(ids) + 1)
-        by_word = np.bincount(ids, np.cumsum(edge)[:-1], len(starts)) / sizes
-        by_bucket = np.bincount(buckets, np.repeat(by_word, sizes), BUCKETS)
+        by_bucket = bags.spread(np.bincount(ids, np.cumsum(edge)[:-1], bags.words))
         d_u = by_bucket @ model.table
         grads = [by_bucket[:, None] * u + 1e-7 * model.table, np.stack([-d_u, d_u]), np.array([-g.sum(), g.sum()])]
         for v, d, m, s in zip(values, grads, first_m, second_m, strict=True):
