@@ -17,7 +17,7 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_WORDS = 2000, 6000, 500
 BUCKETS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5, 6)
 #: Words whose embeddings are averaged; a document is as toxic as its most toxic window.
 WINDOW = 6
-ROUNDS_ALL, ROUNDS_MAX, FOLDS = 15, 45, 2
+ROUNDS_ALL, ROUNDS_MAX, FOLDS = 40, 40, 2
 THRESHOLD = 0.3
 MOST_WORDS = 400_000
 
