@@ -127,6 +127,11 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     return out
 
 
+def sketch_bits(sig: np.ndarray) -> np.ndarray:
+    """A bit of each MinHash value. The values' own low bits are one parity of the shingle in all hashes, so they are mixed first."""
+    return (_mixed(sig.astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 def _texts(b: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """The texts of a batch in runs of about ``most`` characters."""
     at, run, size = 0, [], 0
@@ -154,7 +159,7 @@ def described(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
                 for t in range(trees):
                     for d in range(depth):
                         prefix[t] = _mixed(prefix[t] * _MIX + sig[t * depth + d].astype(np.uint64) + np.uint64(1))
-                sketch = np.packbits((sig & np.uint32(1)).astype(bool).T, axis=1)
+                sketch = np.packbits(sketch_bits(sig).T, axis=1)
                 rows = iter(zip(prefix.T.view(np.int64), sketch, strict=True))
                 both = [next(rows) if k else (None, None) for k in keys]
                 yield pa.RecordBatch.from_arrays(

@@ -282,6 +282,31 @@ def test_prefix_is_shortened_to_the_recall():
     assert ngram_join.recall(depth) >= ngram_join.RECALL > ngram_join.recall(depth + 1)
 
 
+@pytest.mark.parametrize("a, b, shared", [(5, 4, 4), (9, 9, 8), (10, 8, 8), (15, 12, 12), (30, 24, 24)])
+def test_sketch_keeps_short_pairs_at_the_threshold(a, b, shared):
+    rng = np.random.default_rng(a)
+    drawn = [rng.integers(0, 1 << 64, a + b - shared, dtype=np.uint64) for _ in range(4000)]
+    sets = [s for x in drawn for s in (np.sort(x[:a]), np.sort(x[a - shared : a - shared + b]))]
+    hashes = ngram_join.prefix_length() * ngram_join.TREES
+    bits = ngram_join.sketch_bits(ngram_join.signatures(sets, hashes))
+    same = (bits[:, ::2] == bits[:, 1::2]).sum(axis=0)
+    assert (same >= ngram_join.least_agreement(hashes)).all()
+    # The bits of a pair are independent: their spread is the binomial one.
+    assert abs(same.std() / (hashes * 0.9 * 0.1) ** 0.5 - 1) < 0.1
+
+
+def test_join_of_short_texts_at_the_threshold(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(1500):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[:-1])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in ngram_join.join_report(df).collect()}
+    assert [rows[i]["class_id"] for i in range(len(texts))] == [i // 2 * 2 for i in range(len(texts))]
+    assert all(r["n_links"] == 1 for r in rows.values())
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(40)]
