@@ -449,6 +449,32 @@ def test_neighbours(spark):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 10 * len(want)
 
 
+def test_search_holds_recall_without_structure(spark, monkeypatch):
+    """A pool too small for vectors without structure grows, or the scan takes over, until recall is met."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 48)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = brute_nearest(dict(enumerate(x.astype(np.float64))), range(0, 4000, 100))
+    nodes, _, graph = nn_descent.neighbour_graph(nn_descent.usable(df))
+    links = nn_descent.search_links(graph)
+    queries = nodes.where("node % 100 = 0").select(F.col("node").alias("query"), F.col("v").alias("q"))
+
+    def recall(found):
+        order = {}
+        for r in found.where("query != node").orderBy("query", "d", "node").collect():
+            order.setdefault(r["query"], []).append(r["node"])
+        return sum(len(set(order[q][:10]) & set(want[q])) for q in want) / (10 * len(want))
+
+    monkeypatch.setattr(nn_descent, "SCAN_NODES", 700)
+    monkeypatch.setattr(nn_descent, "SCAN_QUERIES", 15)
+    assert recall(nn_descent.scan(nodes, queries, 11)) == 1
+    small = nn_descent.greedy_search(nodes, links, queries, 12)
+    assert recall(small) < nn_descent.TARGET
+    assert abs(nn_descent.measured_recall(small, nn_descent.scan(nodes, queries, 11)) - recall(small)) < 1e-9
+    assert recall(nn_descent.sure_search(nodes, links, queries, pool=12)) >= 0.95
+    assert recall(nn_descent.sure_search(nodes, links, queries, pool=60, target=1.0)) == 1
+
+
 def test_few_vectors(spark):
     df = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert nn_descent.nearest_report(df([])).count() == 0
