@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from .common import remainder_of_id, unit_hash
 
-#: The training sample: documents of a language, words of a document, and languages, at most.
-TRAIN_DOCS, TRAIN_WORDS, MOST_LANGS = 300, 60, 200
+#: The training sample: documents of a language and words of a document, at most. No language is left out.
+TRAIN_DOCS, TRAIN_WORDS = 300, 60
 HIDDEN, EPOCHS, BATCH = 12, 2, 256
 #: The network reads a word at a time, longer ones in pieces of so many bytes.
 SPAN = 32
@@ -137,10 +137,10 @@ def training_sample(docs: DataFrame, docs_each: int = TRAIN_DOCS, words_each: in
     """Words with letters from a bounded sample of labelled documents that are not held out.
 
     About docs_each documents of each language, chosen by a hash of their ids, and words_each words in a row
-    of each from a hashed place on; the bound is docs_each * MOST_LANGS documents and is checked.
+    of each from a hashed place on. Every language of the table is learned; the bound is 2 * docs_each documents a language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder_of_id() != 2))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], np.zeros(0, np.int64), []
     langs = sorted(counts)

@@ -420,6 +420,12 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.toxicity_report(empty(spark), labels).count() == 0
 
 
+def test_no_language_is_left_out_of_the_sample(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} text", f"l{i % 210:03}") for i in range(210 * 12)]
+    words, labels, langs = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(langs) == 210 and set(labels.tolist()) == set(range(210))
+
+
 # ---- nearest neighbours
 
 
