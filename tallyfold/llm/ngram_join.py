@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a forest of MinHash prefix tries finds candidates, exact sets verify them."""
+"""N-gram Jaccard join: MinHash bands of a fixed depth find candidates, exact sets verify them."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ def recall(depth: int, threshold: float = THRESHOLD, trees: int = TREES) -> floa
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, target: float = RECALL) -> int:
-    """The longest prefix with the target recall: matched prefixes are shortened until it is met."""
+    """The longest prefix with the target recall; all bands have this one depth."""
     depth = DEEPEST
     while depth > 1 and recall(depth, threshold, trees) < target:
         depth -= 1
