@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-#: Stands in for the key that a deployment passes.
-KEY = "pseudonym-key"
+#: Labels that a domain has at most. The pattern engine repeats a group by recursion, so every repeat of one has a bound.
+MOST_LABELS = 127
 #: Dates are permuted within 270 x 270 days from this one on.
 FIRST_DAY, DAY_SIDE = "1900-01-01", 270
 
@@ -21,7 +21,7 @@ _NAMES = r"(?:password|passwd|secret|token|api[_-]?key)"
 #: Patterns of values, in the order in which they are tried at a place. A value stands by itself: no digit, letter or
 #: (for dotted and dashed numbers) further part may adjoin it.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{0,{MOST_LABELS - 2}}}\.[A-Za-z]{{2,}}",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
     "iso_date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w]|-\d)",
     "day_date": r"(?<![\w/.])(?:\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w]|[/.]\d)",
@@ -50,9 +50,13 @@ def _is(kind: str, m: str) -> str:
     return f"{m} rlike {_text(f'^(?:{bare})$')}"
 
 
-def _hash(key: str, kind: str, *parts: str) -> str:
+def _digest(key: str, kind: str, *parts: str) -> str:
     whole = ", ".join([_text(f"{key}|{kind}"), *[f"cast({p} as string)" for p in parts]])
-    return f"cast(conv(substr(sha2(concat_ws('|', {whole}), 256), 1, 15), 16, 10) as bigint)"
+    return f"sha2(concat_ws('|', {whole}), 256)"
+
+
+def _hash(key: str, kind: str, *parts: str) -> str:
+    return f"cast(conv(substr({_digest(key, kind, *parts)}, 1, 15), 16, 10) as bigint)"
 
 
 def feistel_number(key: str, kind: str, high: str, low: str, highs: str, lows: str) -> str:
@@ -67,9 +71,11 @@ def feistel_text(key: str, kind: str, text: str) -> str:
     """Letters and digits permuted, each within its kind; the rest stays. The halves are halves of the text."""
 
     def shifted(own: str, other: str) -> str:
-        move = _hash(key, kind, "i", "j", other)
+        # The other half is hashed once, however long it is, and then with each place.
+        move = "cast(conv(substr(sha2(concat_ws('|', h, cast(j as string)), 256), 1, 15), 16, 10) as bigint)"
         turn = lambda base, n: f"chr(pmod(ascii(c) - {base} + {move}, {n}) + {base})"
-        return f"array_join(transform(split({own}, ''), (c, j) -> case when c between '0' and '9' then {turn(48, 10)} when c between 'a' and 'z' then {turn(97, 26)} when c between 'A' and 'Z' then {turn(65, 26)} else c end), '')"
+        new = f"case when c between '0' and '9' then {turn(48, 10)} when c between 'a' and 'z' then {turn(97, 26)} when c between 'A' and 'Z' then {turn(65, 26)} else c end"
+        return _bind(_digest(key, kind, "i", other), "h", f"array_join(transform(split({own}, ''), (c, j) -> {new}), '')")
 
     half = f"cast(length({text}) div 2 as int)"
     start = f"named_struct('a', substr({text}, 1, {half}), 'b', substr({text}, {half} + 1))"
@@ -161,12 +167,13 @@ def pseudonym(key: str, m: str = "m") -> str:
     return "case " + " ".join(f"when {_is(kind, m)} then {new}" for kind, new in cases.items()) + f" else {m} end"
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs``, the text with pseudonyms, and ``_pi_found``, how many values were replaced.
 
     Emails keep their domain, phones their country code, cards a valid check digit, dates their notation. A text is cut
     at its matches, which are replaced one by one and put back. A null text stays null with 0 found; texts
-    without a value are returned as they are. Works row by row, without a shuffle.
+    without a value are returned as they are. A domain of more than MOST_LABELS labels ends there. Time grows with a
+    text's length and no pattern recurses deeper than its bounds, whatever the text. Works row by row, without a shuffle.
     """
     text = F.col("text")
     searched = docs.withColumn("_pi_all", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
@@ -179,11 +186,12 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     return replaced.withColumns({"text": F.when(some, joined).otherwise(text), "_pi_found": F.when(some, changed).otherwise(F.lit(0).cast("long"))}).select(*docs.columns, "_pi_found")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """The columns of ``docs``, with pseudonyms in the text. The key is the deployment's secret; there is no default."""
     return pseudonymised(docs, key).drop("_pi_found")
 
 
-def pii_report(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pii_report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_replaced and the text with pseudonyms, of every document."""
     out = pseudonymised(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), key)
     return out.select("doc_id", F.col("_pi_found").alias("n_replaced"), "text")
