@@ -32,6 +32,10 @@ PATTERNS = {
     "secret": rf'(?<![A-Za-z]){_NAMES} ?[=:] ?"?[0-9A-Za-z]{{8,}}',
 }
 ANY = "|".join(PATTERNS.values())
+#: issuers' first digits and lengths of payment cards. Other numbers with a right check digit are no cards.
+CARDS = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|(?:30[0-5]|36\d|3[89]\d)\d{11,16}|35\d{14,17}|(?:50|5[6-8]|6\d)\d{11,17})$"
+#: First digits of a card, which say who issued it and stay.
+ISSUER = 4
 #: Every pattern needs one of these; most texts have none and are not searched further.
 HINT = "[0-9@=:]"
 
@@ -104,13 +108,15 @@ def _check_digit(body: str) -> str:
 
 
 def _card(key: str, m: str) -> str:
-    d = "substr(d, 1, length(d) - 1)"
-    half = "cast((length(d) - 1) div 2 as int)"
-    rest = f"(length(d) - 1 - {half})"
-    pair = feistel_number(key, "card", f"cast(substr(d, 1, {half}) as bigint)", f"cast(substr(d, {half} + 1, {rest}) as bigint)", f"pow(10, {half})", f"pow(10, {rest})")
-    body = _bind(pair, "q", f"concat(lpad(cast(q.a as string), {half}, '0'), lpad(cast(q.b as string), {rest}, '0'))")
-    full = _bind(body, "w", f"concat(w, {_check_digit('w')})")
-    return _bind(_digits(m), "d", f"if({_check_digit(d)} = substr(d, -1), {_bind(full, 'n', _refill(m, 'n'))}, {m})")
+    """The digits between the issuer's and the check digit are permuted, and the check digit is made to fit."""
+    body = f"substr(d, {ISSUER + 1}, length(d) - {ISSUER + 1})"
+    half = "cast(length(b) div 2 as int)"
+    rest = f"(length(b) - {half})"
+    pair = feistel_number(key, "card", f"cast(substr(b, 1, {half}) as bigint)", f"cast(substr(b, {half} + 1) as bigint)", f"pow(10, {half})", f"pow(10, {rest})")
+    new = _bind(body, "b", _bind(pair, "q", f"concat(substr(d, 1, {ISSUER}), lpad(cast(q.a as string), {half}, '0'), lpad(cast(q.b as string), {rest}, '0'))"))
+    full = _bind(new, "w", f"concat(w, {_check_digit('w')})")
+    valid = f"d rlike {_text(CARDS)} and {_check_digit('substr(d, 1, length(d) - 1)')} = substr(d, -1)"
+    return _bind(_digits(m), "d", f"if({valid}, {_bind(full, 'n', _refill(m, 'n'))}, {m})")
 
 
 def _phone(key: str, m: str) -> str:
@@ -170,7 +176,7 @@ def pseudonym(key: str, m: str = "m") -> str:
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs``, the text with pseudonyms, and ``_pi_found``, how many values were replaced.
 
-    Emails keep their domain, phones their country code, cards a valid check digit, dates their notation. A text is cut
+    Emails keep their domain, phones their country code, cards their issuer and a valid check digit, dates their notation. A text is cut
     at its matches, which are replaced one by one and put back. A null text stays null with 0 found; texts
     without a value are returned as they are. A domain of more than MOST_LABELS labels ends there. Time grows with a
     text's length and no pattern recurses deeper than its bounds, whatever the text. Works row by row, without a shuffle.

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
+import string
 import zlib
 from pathlib import Path
 
@@ -348,6 +351,113 @@ def test_feistel_is_a_permutation(spark):
         assert len({r["text"] for r in pii.pii_report(df, "key").collect()}) == len(values)
 
 
+def hashed(*parts):
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def brute_pair(key, kind, a, b, highs, lows):
+    for i in range(6):
+        if i % 2 == 0:
+            a = (a + int(hashed(key, kind, i, b)[:15], 16)) % highs
+        else:
+            b = (b + int(hashed(key, kind, i, a)[:15], 16)) % lows
+    return a, b
+
+
+def brute_letters(key, kind, text):
+    def turned(own, other, i):
+        h, out = hashed(key, kind, i, other), []
+        for j, c in enumerate(own):
+            base, n = (48, 10) if c in string.digits else (97, 26) if c in string.ascii_lowercase else (65, 26) if c in string.ascii_uppercase else (0, 0)
+            out.append(chr((ord(c) - base + int(hashed(h, j)[:15], 16)) % n + base) if n else c)
+        return "".join(out)
+
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+    for i in range(6):
+        a, b = (turned(a, b, i), b) if i % 2 == 0 else (a, turned(b, a, i))
+    return a + b
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0
+
+
+def brute_pseudonym(key, m):
+    """What stands for a match of ``pii.ANY``, value by value."""
+    digits = re.sub("[^0-9]", "", m)
+
+    def refilled(new):
+        rest = iter(new)
+        return re.sub("[0-9]", lambda _: next(rest), m)
+
+    kind = next(k for k, p in pii.PATTERNS.items() if re.fullmatch(p, m, re.ASCII))
+    if kind == "email":
+        local, domain = m.split("@")
+        return brute_letters(key, kind, local) + "@" + domain
+    if kind == "access_key":
+        return "AKIA" + brute_letters(key, "secret", m[4:])
+    if kind == "secret":
+        tail = re.search("[0-9A-Za-z]+$", m).group()
+        return m[: len(m) - len(tail)] + brute_letters(key, "secret", tail)
+    if kind == "ip":
+        o = [int(x) for x in m.split(".")]
+        a, b = brute_pair(key, kind, o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "card":
+        if not (luhn(digits) and re.fullmatch(pii.CARDS, digits)):
+            return m
+        head, body = digits[:4], digits[4:-1]
+        half = len(body) // 2
+        a, b = brute_pair(key, kind, int(body[:half]), int(body[half:]), 10**half, 10 ** (len(body) - half))
+        new = f"{head}{a:0{half}}{b:0{len(body) - half}}"
+        return refilled(new + next(c for c in string.digits if luhn(new + c)))
+    if kind == "phone":
+        area, exchange, last = int(digits[-10:-7]), int(digits[-7:-4]), int(digits[-4:])
+        (ab, an), (eb, en) = ((200, 800) if x >= 200 else (0, 200) for x in (area, exchange))
+        a, b = brute_pair(key, kind, (area - ab) * en + exchange - eb, last, an * en, 10000)
+        return refilled(f"{digits[:-10]}{a // en + ab:03}{a % en + eb:03}{b:04}")
+    return None
+
+
+@needs_data
+def test_pseudonyms_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    seen = set()
+    for r in pii.pii_report(docs, "another key").collect():
+        n, text = 0, texts[r["doc_id"]]
+
+        def replaced(found):
+            nonlocal n
+            new = brute_pseudonym("another key", found.group())
+            n += new != found.group()
+            return new
+
+        want = text and re.sub(pii.ANY, replaced, text, flags=re.ASCII)
+        assert (r["text"], r["n_replaced"]) == (want, n)
+        seen.add(n)
+    assert len(seen) > 2
+
+
+def test_hostile_texts_of_a_megabyte_end(spark):
+    n = 1_000_000
+    forms = [
+        ("a@" + "b." * (n // 2), 0), ("a@" + "bb." * (n // 3), 1), ("a@" * (n // 2), 0), ("a" * n + "@b.com", 1), ("a@" + "b" * n, 0), ("1" * n, 0), ("1." * (n // 2), 0), ("1.2.3.4 " * (n // 8), n // 8),
+        ("12-" * (n // 3), 0), ("2020-01-" * (n // 8), 0), ("01/01/" * (n // 6), 0), ("token=" + "a1" * (n // 2), 1), ("token=" * (n // 6), 0), ("+1 (269) " * (n // 9), 0), ("4111 " * (n // 5), 0),
+        ("AKIA" * (n // 4), 0), ("a.b-" * (n // 4) + "@", 0), ("%+" * (n // 2) + "@a.bc", 0), ("123-45-" * (n // 7), 0),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(forms)], "doc_id long, text string").repartition(len(forms))
+    got = {r["doc_id"]: r for r in pii.pii_report(df, "key").select("doc_id", "n_replaced", F.length("text").alias("n")).collect()}
+    assert [got[i]["n_replaced"] for i in range(len(forms))] == [k for _, k in forms]
+    assert all(got[i]["n"] == len(t) for i, (t, k) in enumerate(forms) if k == 0)
+
+
+def test_numbers_of_no_issuer_stay(spark):
+    texts = ["9807915762804490"[:15] + c for c in string.digits] + ["5500005555555559 and 340000000000009"]
+    rows = pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()
+    assert {r["doc_id"]: r["n_replaced"] for r in rows} == dict.fromkeys(range(10), 0) | {10: 2}
+
+
 def test_pii_of_odd_rows(spark):
     assert pii.pseudonymise(odd(spark), "key").columns == odd(spark).columns
     assert pii.pii_report(odd(spark), "key").count() == len(ODD) and pii.pii_report(empty(spark), "key").count() == 0
