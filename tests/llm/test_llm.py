@@ -87,14 +87,45 @@ def test_written_shards(spark, tmp_path):
 # ---- mixing
 
 
-def test_raking_meets_targets(spark):
+def token_shares(rows, dim):
+    total, out = sum(r["tokens"] * r["rate"] for r in rows), {}
+    for r in rows:
+        out[r[dim]] = out.get(r[dim], 0) + r["tokens"] * r["rate"] / total
+    return out
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_raking_meets_targets(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
     rng = random.Random(1)
-    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", rng.randint(5, 500)) for i in range(4) for j in range(3) for k in range(2)], "source string, lang string, topic string, tokens long")
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", rng.randint(50, 500)) for i in range(4) for j in range(3) for k in range(2)], "source string, lang string, topic string, tokens long")
     goal = spark.createDataFrame([("s0", 0.4), ("s1", 0.3), ("s2", 0.2), ("s3", 0.1)], "source string, share double")
-    rows = mixing.rake(cells, {"source": goal, "lang": 0.5, "topic": 1.0}, sweeps=30).collect()
-    total = sum(r["tokens"] * r["factor"] for r in rows)
-    for value, share in (("s0", 0.4), ("s1", 0.3), ("s2", 0.2), ("s3", 0.1)):
-        assert sum(r["tokens"] * r["factor"] for r in rows if r["source"] == value) / total == pytest.approx(share, abs=1e-6)
+    rows = mixing.rake(cells, {"source": goal, "lang": 0.5, "topic": 1.0}, sweeps=30 if few else 6, keep=0.4).collect()
+    shares = token_shares(rows, "source")
+    assert all(shares[value] == pytest.approx(share, rel=0.01) for value, share in (("s0", 0.4), ("s1", 0.3), ("s2", 0.2), ("s3", 0.1)))
+    assert sum(r["tokens"] * r["rate"] for r in rows) == pytest.approx(0.4 * sum(r["tokens"] for r in rows), rel=0.01)
+    assert all(0 <= r["rate"] <= 1 for r in rows)
+
+
+def test_a_scarce_source_does_not_empty_the_mix(spark):
+    rows = [(i, "one two three four five", "en", f"s{i % 3}") for i in range(5000)] + [(5000, "one two three four five", "en", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    goal = spark.createDataFrame([("s0", 0.4), ("s1", 0.3), ("s2", 0.2), ("rare", 0.1)], "source string, share double")
+    targets = {"source": goal, "lang": 1.0, "topic": 1.0}
+    kept = mixing.mix(docs, targets=targets)
+    counts = {r["source"]: r["count"] for r in kept.groupBy("source").count().collect()}
+    assert counts["rare"] == 1 and 2800 < sum(counts.values()) < 3200
+    assert counts["s1"] / counts["s2"] == pytest.approx(1.5, rel=0.1)
+    short = {r["value"]: r for r in mixing.shortfalls(docs, "source", goal, targets=targets).collect()}
+    assert short["rare"]["lacking"] == pytest.approx(0.06 * 25_005 - 5) and short["rare"]["expected"] == pytest.approx(5)
+    # s0 has a third of all tokens, less than its share of what is left.
+    assert short["s0"]["expected"] == pytest.approx(short["s0"]["goal"], rel=0.01) and short["s2"]["lacking"] == 0
+
+
+def test_mixing_takes_a_topic_column(spark):
+    docs = spark.createDataFrame([(i, "some words", "en", "s", ["a", "b", None][i % 3]) for i in range(300)], "doc_id long, text string, lang string, source string, field string")
+    rows = mixing.mix_report(docs, topic=F.col("field"), keep=0.5).collect()
+    assert {r["topic"] for r in rows} == {"a", "b", "(none)"} and 100 < sum(r["kept"] for r in rows) < 200
 
 
 def test_mixing_of_odd_rows(spark):
@@ -106,9 +137,9 @@ def test_mixing_of_odd_rows(spark):
 
 
 def test_many_cells_give_the_same_rates(spark, monkeypatch):
-    few = sorted(map(str, mixing.mix_report(odd(spark)).collect()))
+    few = sorted(map(str, mixing.mix_report(odd(spark), sweeps=2).collect()))
     monkeypatch.setattr(mixing, "FEW_CELLS", 0)
-    assert sorted(map(str, mixing.mix_report(odd(spark)).collect())) == few
+    assert sorted(map(str, mixing.mix_report(odd(spark), sweeps=2).collect())) == few
 
 
 # ---- quality
