@@ -174,7 +174,7 @@ def base_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.round(numbers.to_base_value(value, unit, scale), 2).alias("value"))
 
 
-_STYLE = "o_orderkey % 11"
+_STYLE = "o_orderkey % 14"
 _FY = "year(d) + case when month(d) >= 4 then 1 else 0 end"
 
 
@@ -183,16 +183,17 @@ q as (select *, {_FY} as fy, (month(d) + 8) % 12 // 3 as fq from o),
 s as (select o_orderkey, case k
   when 0 then make_date(fy - 1, 4, 1) when 1 then make_date(fy - 1, 4, 1) when 2 then cast(make_date(fy - 1, 4, 1) + to_months(cast(3 * fq as int)) as date)
   when 3 then cast(make_date(fy - 1, 4, 1) + to_months(cast(6 * (fq // 2) as int)) as date) when 4 then make_date(year(d), 1, 1) when 5 then make_date(year(d), month(d), 1)
-  when 6 then d when 7 then make_date(year(d), 3 * ((month(d) - 1) // 3) + 1, 1) when 8 then cast(d + interval 1 day - interval 9 months as date) when 9 then make_date(fy - 1, 4, 1) end as period_start,
+  when 6 then d when 7 then make_date(year(d), 3 * ((month(d) - 1) // 3) + 1, 1) when 8 then cast(d + interval 1 day - interval 9 months as date) when 9 then make_date(fy - 1, 4, 1) when 10 then cast(d + interval 1 day - interval 12 months as date)
+  when 11 then make_date(year(d) - case when month(d) < 4 then 1 else 0 end, (month(d) + 8) % 12 + 1, 1) when 12 then d end as period_start,
  case k when 0 then make_date(fy, 3, 31) when 1 then make_date(fy, 3, 31) when 2 then cast(make_date(fy - 1, 4, 1) + to_months(cast(3 * fq + 3 as int)) - interval 1 day as date)
   when 3 then cast(make_date(fy - 1, 4, 1) + to_months(cast(6 * (fq // 2) + 6 as int)) - interval 1 day as date) when 4 then make_date(year(d), 12, 31) when 5 then last_day(d)
-  when 6 then d when 7 then last_day(make_date(year(d), 3 * ((month(d) - 1) // 3) + 3, 1)) when 8 then d when 9 then make_date(fy - 1, 12, 31) end as period_end,
- case k when 0 then 'fy' when 1 then 'fy' when 2 then 'quarter' when 3 then 'half' when 4 then 'calendar' when 5 then 'month' when 6 then 'asof' when 7 then 'quarter' when 8 then 'range' when 9 then 'range' end as kind from q)
+  when 6 then d when 7 then last_day(make_date(year(d), 3 * ((month(d) - 1) // 3) + 3, 1)) when 8 then d when 9 then make_date(fy - 1, 12, 31) when 10 then d when 11 then last_day(d) when 12 then d + cast(o_orderkey % 3 as int) end as period_end,
+ case k when 0 then 'fy' when 1 then 'fy' when 2 then 'quarter' when 3 then 'half' when 4 then 'calendar' when 5 then 'month' when 6 then 'asof' when 7 then 'quarter' when 8 then 'range' when 9 then 'range' when 10 then 'fy' when 11 then 'range' when 12 then case when o_orderkey % 3 = 0 then 'asof' else 'range' end end as kind from q)
 select o_orderkey, kind, strftime(period_start, '%Y-%m-%d') as period_start, strftime(period_end, '%Y-%m-%d') as period_end,
   coalesce(strftime(period_start, '%Y-%m-%d') || ':' || strftime(period_end, '%Y-%m-%d'), 'unknown') as period_key from s""")
 def parse_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
-    k = F.col("o_orderkey") % 11
+    k = F.col("o_orderkey") % 14
     fy = F.year("d") + F.when(F.month("d") >= 4, 1).otherwise(0)
     quarter = F.floor(((F.month("d") + 8) % 12) / 3) + 1
     yy = F.lpad((fy % 100).cast("string"), 2, "0")
@@ -201,9 +202,12 @@ def parse_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed = (
         F.when(k == 0, F.concat(F.lit("FY"), fy)).when(k == 1, both).when(k == 2, F.concat(F.lit("Q"), quarter, F.lit(":"), both)).when(k == 3, F.concat(F.lit("H"), F.floor((quarter + 1) / 2), F.lit(" FY"), fy))
         .when(k == 4, F.concat(F.lit("CY"), F.year("d"))).when(k == 5, F.date_format("d", "MMMM yyyy")).when(k == 6, F.concat(F.lit("as on "), F.date_format("d", "d MMM, yyyy")))
-        .when(k == 7, F.concat(F.year("d"), F.lit("Q"), F.quarter("d"))).when(k == 8, F.concat(F.lit("nine months ended "), F.date_format("d", "MMMM d, yyyy"))).when(k == 9, F.concat(F.lit("9MFY"), fy)).otherwise("recent months")
+        .when(k == 7, F.concat(F.year("d"), F.lit("Q"), F.quarter("d"))).when(k == 8, F.concat(F.lit("nine months ended "), F.date_format("d", "MMMM d, yyyy"))).when(k == 9, F.concat(F.lit("9MFY"), fy))
+        .when(k == 10, F.concat(F.lit("Fiscal year ended "), F.date_format("d", "d MMMM yyyy"))).when(k == 11, F.concat_ws("-", F.date_format(F.add_months("d", -3), "MMM"), F.date_format("d", "MMMM yyyy"))).otherwise("recent months")
     )
-    rows = o.select("o_orderkey", periods.parse_period(printed).alias("p"))
+    # Two dates stand in for what is no period.
+    iso = lambda d: F.when(k == 12, F.date_format(d, "yyyy-MM-dd"))
+    rows = o.select("o_orderkey", periods.period_or_dates(printed, iso(F.col("d")), iso(F.date_add("d", (F.col("o_orderkey") % 3).cast("int")))).alias("p"))
     return rows.select("o_orderkey", F.col("p.start").cast("string").alias("period_start"), F.col("p.end").cast("string").alias("period_end"), F.col("p.kind").alias("kind"), periods.period_key(F.col("p")).alias("period_key"))
 
 
