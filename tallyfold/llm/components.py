@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from .common import write_table
 
 MOST_ROUNDS = 60
+#: A node with more edges than LEAST_HUB, and than the edges' count over MOST_HUBS, is a hub: its edges are dealt to SALTS tasks.
+LEAST_HUB, MOST_HUBS, SALTS = 64, 50_000, 32
+
+
+def _to_least(edges: DataFrame, count: int) -> DataFrame:
+    """(a, b, m): each edge with the smallest b of its a.
+
+    There are at most 2 * MOST_HUBS hubs, however many edges there are, so their list is small enough to broadcast.
+    """
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    hub = F.col("n") > max(LEAST_HUB, -(-count // MOST_HUBS))
+    hubs = F.broadcast(least.where(hub).select("a", F.lit(True).alias("hub")))
+    dealt = edges.join(hubs, "a", "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(0))
+    every = least.select("a", "m", F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return dealt.join(every, ["a", "salt"]).select("a", "b", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,19 +35,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     real = edges.where(F.col("a") != F.col("b"))
     now = write_table(real.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, count = None, now.count()
     for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("v"), "a", "m")
-        star = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+        near = _to_least(both, 2 * count).withColumn("m", F.least("a", "m"))
+        large = near.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        small = _to_least(large, count)
+        star = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         now = write_table(star, "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, count = state, state[0]
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct()

@@ -1,9 +1,16 @@
-"""N-gram Jaccard join: MinHash bands of a fixed depth find candidates, exact sets verify them."""
+"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact sets verify them.
+
+Each set has a signature of DEEPEST values in each of TREES tries. A trie is sorted by signature, so sets that share a prefix stand
+together, and how long a prefix two of them share is read off their neighbours in that order. Each set is matched at the
+longest prefix that still reaches the target recall for the least similarity that a set of its size can have
+at the threshold; only sets that need it are matched by shorter prefixes, down to that of the threshold itself.
+"""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,44 +21,66 @@ from .common import write_table
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
-#: Tries, the longest prefix of a signature in one, and the recall of a pair at the threshold.
+#: Tries, the length of a signature in one, and the recall of a pair at the threshold.
 TREES, DEEPEST, RECALL = 32, 8, 0.99999
-#: Agreeing bits of two sketches below which their sets are taken to be below the threshold.
+#: How likely the sketches may miss a pair at the threshold; 0: sketches decide nothing.
 MISS = 1e-7
-#: Members that a task compares with each other at once: by sketch, and by exact sets.
-CELL, EXACT_CELL = 512, 256
-#: Up to so many dropped documents are broadcast.
-FEW = 500_000
+#: Members of a prefix that a task compares with each other at once by sketch.
+CELL = 512
+#: Members, and bytes of their sets, of each of the two parts that a task compares by exact sets.
+PART_ROWS, PART_BYTES = 1024, 8 << 20
+#: Up to so many dropped or picked documents (about 100 bytes each) are broadcast.
+FEW = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def recall(depth: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
+def recall(depth: int, similarity: float = THRESHOLD, trees: int = TREES) -> float:
     """How likely two sets share a prefix of this length in a trie or more."""
-    return 1 - (1 - threshold**depth) ** trees
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, target: float = RECALL) -> int:
-    """The longest prefix with the target recall; all bands have this one depth."""
+def prefix_length(similarity: float = THRESHOLD, trees: int = TREES, target: float = RECALL) -> int:
+    """The longest prefix with the target recall for pairs of this similarity."""
     depth = DEEPEST
-    while depth > 1 and recall(depth, threshold, trees) < target:
+    while depth > 1 and recall(depth, similarity, trees) < target:
         depth -= 1
-    if recall(depth, threshold, trees) < target:
+    if recall(depth, similarity, trees) < target:
         raise ValueError("more tries are needed for this recall")
     return depth
 
 
-def least_agreement(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    """The most agreeing bits such that a pair at the threshold has fewer with a chance below ``miss``."""
-    p = (1 + threshold) / 2
-    chance, total = (1 - p) ** bits, 0.0
-    for k in range(bits + 1):
+def least_similarity(size: int, threshold: float = THRESHOLD) -> float | None:
+    """The least similarity from the threshold on of a set of this size with a different set; None if it can have none."""
+    low, exact = None, round(threshold * 1000)
+    for other in range(max(1, -(-exact * size // 1000)), 1000 * size // exact + 1):
+        shared = -(-exact * (size + other) // (1000 + exact))
+        if shared <= min(size, other) and not shared == size == other:
+            found = shared / (size + other - shared)
+            low = found if low is None else min(low, found)
+    return low
+
+
+@cache
+def depth_of(size: int, threshold: float = THRESHOLD) -> int:
+    """The prefix length at which a set of this size is matched; 0 if no different set can be its partner."""
+    if size > 200:
+        return prefix_length(threshold)
+    low = least_similarity(size, threshold)
+    return 0 if low is None else prefix_length(low)
+
+
+def least_agreement(values: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """The most agreeing two-bit values such that a pair at the threshold has fewer with a chance below ``miss``."""
+    p = threshold + (1 - threshold) / 4
+    chance, total = (1 - p) ** values, 0.0
+    for k in range(values + 1):
         total += chance
         if total > miss:
             return k
-        chance *= (bits - k) / (k + 1) * p / (1 - p)
-    return bits
+        chance *= (values - k) / (k + 1) * p / (1 - p)
+    return values
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -127,9 +156,17 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     return out
 
 
-def sketch_bits(sig: np.ndarray) -> np.ndarray:
-    """A bit of each MinHash value. The values' own low bits are one parity of the shingle in all hashes, so they are mixed first."""
-    return (_mixed(sig.astype(np.uint64)) & np.uint64(1)).astype(bool)
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each MinHash value, (set, bytes). The values' own low bits depend on each other, so they are mixed first."""
+    two = (_mixed(sig.astype(np.uint64)) & np.uint64(3)).astype(np.uint8).T
+    return two[:, 0::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many two-bit values of sketches are equal, row by row."""
+    differ = a ^ b
+    differ = (differ | differ >> 1) & 0x55
+    return 4 * a.shape[1] - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
 
 
 def _texts(b: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
@@ -144,8 +181,13 @@ def _texts(b: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tupl
             at, run, size = i + 1, [], 0
 
 
-def described(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
-    """doc_id, hash of the text, key of the n-gram set (null if empty), its trie prefixes and its sketch."""
+def described(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
+    """doc_id, hash of the text, and of its n-gram set: key (null if empty), size, sketch and places in the tries.
+
+    depth: the prefix length at which it is matched. prefixes: for each trie a hash of the shortest prefix in use. deeper: a byte of
+    each further value of the signature, the first one highest, so numbers are sorted as signatures are.
+    """
+    least = prefix_length(threshold)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -154,47 +196,52 @@ def described(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
                 sets = shingler.sets(texts)
                 full = [s for s in sets if len(s)]
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                sig = signatures(full, depth * trees) if full else np.zeros((depth * trees, 0), np.uint32)
-                prefix = np.zeros((trees, len(full)), np.uint64)
+                sig = signatures(full, DEEPEST * trees) if full else np.zeros((DEEPEST * trees, 0), np.uint32)
+                prefix, deeper = np.zeros((trees, len(full)), np.uint64), np.zeros((trees, len(full)), np.int64)
                 for t in range(trees):
-                    for d in range(depth):
-                        prefix[t] = _mixed(prefix[t] * _MIX + sig[t * depth + d].astype(np.uint64) + np.uint64(1))
-                sketch = np.packbits(sketch_bits(sig).T, axis=1)
-                rows = iter(zip(prefix.T.view(np.int64), sketch, strict=True))
-                both = [next(rows) if k else (None, None) for k in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(at, len(texts)), b.column("text_hash").slice(at, len(texts)), pa.array(keys, pa.binary()), pa.array([p for p, _ in both], pa.list_(pa.int64())), pa.array([None if s is None else s.tobytes() for _, s in both], pa.binary())],
-                    names=["doc_id", "text_hash", "key", "prefixes", "sketch"],
-                )
+                    prefix[t] = t + 1
+                    for d in range(DEEPEST):
+                        value = sig[t * DEEPEST + d].astype(np.uint64)
+                        if d < least:
+                            prefix[t] = _mixed(prefix[t] * _MIX + value)
+                        else:
+                            deeper[t] = deeper[t] << 8 | (_mixed(value + _MIX) & np.uint64(255)).astype(np.int64)
+                rows = iter(zip(prefix.T.view(np.int64), deeper.T, sketches(sig), strict=True))
+                found = [next(rows) if k else None for k in keys]
+                depth = [depth_of(len(s), threshold) if len(s) else 0 for s in sets]
+                pick = lambda i: [f[i] if f is not None and d else None for f, d in zip(found, depth, strict=True)]  # noqa: E731, B023
+                cols = [
+                    b.column("doc_id").slice(at, len(texts)), b.column("text_hash").slice(at, len(texts)), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(depth, pa.int32()),
+                    pa.array(pick(0), pa.list_(pa.int64())), pa.array(pick(1), pa.list_(pa.int64())), pa.array([None if f is None else f[2].tobytes() for f in found], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "key", "size", "depth", "prefixes", "deeper", "sketch"])
 
     cols = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return cols.mapInArrow(run, "doc_id long, text_hash long, key binary, prefixes array<long>, sketch binary")
+    return cols.mapInArrow(run, "doc_id long, text_hash long, key binary, size long, depth int, prefixes array<long>, deeper array<long>, sketch binary")
 
 
-def _runs(batches: Iterable[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows that are sorted by ``keys``, in tables of whole groups of about ``most`` rows, and the groups' starts."""
-    held: pa.Table | None = None
+def _runs(batches: Iterable[pa.RecordBatch], key: str, rows: int, size: int = 16 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that are sorted by ``key``, in tables of whole groups of about so many rows or bytes, and the groups' starts."""
+    held: list[pa.RecordBatch] = []
+    n = used = 0
 
     def starts(t: pa.Table) -> np.ndarray:
-        new = np.zeros(t.num_rows, bool)
-        new[:1] = True
-        for k in keys:
-            v = t.column(k).to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        return np.flatnonzero(new)
+        v = t.column(key).to_numpy()
+        return np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
 
     for b in batches:
-        t = pa.Table.from_batches([b])
-        held = pa.concat_tables([held, t]) if held is not None else t
-        if held.num_rows >= most:
-            held = held.combine_chunks()
-            at = starts(held)
+        held.append(b)
+        n, used = n + b.num_rows, used + b.nbytes
+        if n >= rows or used >= size:
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = starts(t)
             if len(at) > 1:
-                yield held.slice(0, at[-1]), at[:-1]
-                held = held.slice(at[-1])
-    if held is not None and held.num_rows:
-        held = held.combine_chunks()
-        yield held, starts(held)
+                yield t.slice(0, at[-1]), at[:-1]
+                t = t.slice(at[-1]).combine_chunks()
+            held, n, used = t.to_batches(), t.num_rows, t.nbytes
+    if n:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, starts(t)
 
 
 def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -212,35 +259,43 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def candidate_edges(classes: DataFrame, agree: int) -> DataFrame:
-    """Edges (a, b) that connect classes which share a trie prefix and whose sketches agree.
+def candidate_edges(classes: DataFrame, agree: int, least: int) -> DataFrame:
+    """Edges (a, b) that connect classes which share a long enough prefix in a trie and whose sketches agree.
 
-    A prefix that n classes share is split into cells of about CELL classes, two parts of it each, so no
-    task holds a hot prefix; a cell yields edges that span its agreeing pairs and not the pairs.
+    A trie's members that share the shortest prefix in use are one cell, sorted by the rest of their signatures. Two of them
+    share as much as the neighbours between them do, and are compared if that reaches both their depths. A prefix of more than
+    CELL classes is split into cells of two parts, so no task holds a hot prefix; a cell yields edges that
+    span its agreeing pairs and not the pairs. Sketches travel only with prefixes that classes share.
     """
-    leaves = classes.select("class", "sketch", F.posexplode("prefixes").alias("tree", "prefix"))
-    counts = leaves.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = leaves.join(counts, ["tree", "prefix"])
+    places = classes.where("depth > 0").select("class", F.posexplode(F.arrays_zip("prefixes", "deeper")).alias("t", "p")).select("class", F.col("p.prefixes").alias("prefix"), F.col("p.deeper").alias("deeper"))
+    counts = places.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = places.join(counts, "prefix").join(classes.select("class", "depth", "sketch"), "class")
     parts = F.ceil(F.col("n") / CELL).cast("int")
     part = F.pmod(F.xxhash64("class"), parts).cast("int")
     partner = F.when(parts > 1, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
-    cells = shared.select("tree", "prefix", "class", "sketch", part.alias("part"), F.explode(partner).alias("other"))
-    key = F.xxhash64("tree", "prefix", F.least("part", "other"), F.greatest("part", "other"))
-    cells = cells.select(key.alias("cell"), "class", "sketch")
+    cells = shared.select("prefix", "deeper", "class", "depth", "sketch", part.alias("part"), F.explode(partner).alias("other"))
+    key = F.xxhash64("prefix", F.least("part", "other"), F.greatest("part", "other"))
+    cells = cells.select(key.alias("cell"), "prefix", "deeper", "class", "depth", "sketch")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in _runs(batches, ["cell"], 4096):
+        for t, starts in _runs(batches, "cell", 4096):
             n = t.num_rows
             width = len(t.column("sketch")[0].as_py())
             bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(n, width)
-            own = t.column("class").to_numpy()
+            own, depth, prefix, deeper = (t.column(c).to_numpy() for c in ("class", "depth", "prefix", "deeper"))
             left = np.append(starts[1:], n)[np.searchsorted(starts, np.arange(n), side="right") - 1] - np.arange(n)
+            # Values that each row's signature shares with the next one's.
+            length = np.where(prefix[1:] == prefix[:-1], least, 0)
+            for i in range(DEEPEST - least):
+                length += (length == least + i) & (deeper[1:] >> 8 * (DEEPEST - least - 1 - i) == deeper[:-1] >> 8 * (DEEPEST - least - 1 - i))
+            common = np.full(n, DEEPEST, np.int64)
             firsts, seconds = [], []
             rows = np.arange(n)
             for step in range(1, int(left.max())):
                 rows = rows[left[rows] > step]
-                same = 8 * width - np.bitwise_count(bits[rows] ^ bits[rows + step]).sum(axis=1, dtype=np.int64)
-                hit = rows[same >= agree]
+                common[rows] = np.minimum(common[rows], length[rows + step - 1])
+                meet = rows[common[rows] >= np.maximum(depth[rows], depth[rows + step])]
+                hit = meet[agreement(bits[meet], bits[meet + step]) >= agree]
                 firsts.append(hit)
                 seconds.append(hit + step)
             if not firsts:
@@ -250,7 +305,7 @@ def candidate_edges(classes: DataFrame, agree: int) -> DataFrame:
             on = np.flatnonzero(label != np.arange(n))
             yield pa.RecordBatch.from_arrays([pa.array(own[on], pa.int64()), pa.array(own[label[on]], pa.int64())], names=["a", "b"])
 
-    sorted_cells = cells.repartition("cell").sortWithinPartitions("cell")
+    sorted_cells = cells.repartition("cell").sortWithinPartitions("cell", "prefix", "deeper")
     return sorted_cells.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
@@ -275,28 +330,44 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def gram_sets(texts: DataFrame) -> DataFrame:
+    """The columns of ``texts`` with the text's n-gram set, sorted hashes as bytes, in the text's place. Each text is read once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for b in batches:
+            rest = b.drop_columns(["text"])
+            for at, texts in _texts(b, "text"):
+                sets = pa.array([s.tobytes() for s in shingler.sets(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rest.slice(at, len(texts)).columns, sets], names=[*rest.schema.names, "grams"])
+
+    kept = [c for c in texts.columns if c != "text"]
+    schema = ", ".join(f"{c} {t}" for c, t in texts.select(*kept).dtypes)
+    return texts.select(*kept, "text").mapInArrow(run, f"{schema}, grams binary")
+
+
 def verified_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links of the classes in each candidate component, by exact Jaccard similarity of their sets.
+    """Links of the classes in each group of candidates, by exact Jaccard similarity of their sets.
 
-    members: class, copies, comp, n (classes of the component) and text. Returns, for a class and a cell that it is in: the
-    documents of linked classes there, and a class that it is connected with. Components of many classes
-    are split into cells of two parts as above, and no pair is emitted.
+    members: class, copies, comp, parts (that the group is cut into) and grams. Returns, for a class and a cell that it is in: the
+    documents of linked classes there, and a class that it is connected with. A group of one part is one cell, where each set
+    is once; larger ones are split into cells of two parts, bounded by rows and bytes. No pair is emitted.
     """
-    parts = F.ceil(F.col("n") / EXACT_CELL).cast("int")
+    parts = F.col("parts")
     part = F.pmod(F.xxhash64("class"), parts).cast("int")
     partner = F.when(parts > 1, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
-    cells = members.select("comp", "class", "copies", "text", part.alias("part"), F.explode(partner).alias("other"))
+    cells = members.select("comp", "class", "copies", "grams", part.alias("part"), F.explode(partner).alias("other"))
     lo, hi = F.least("part", "other"), F.greatest("part", "other")
-    cells = cells.select(F.xxhash64("comp", lo, hi).alias("cell"), (lo == hi).alias("within"), "part", "class", "copies", "text")
+    cells = cells.select(F.xxhash64("comp", lo, hi).alias("cell"), (lo == hi).alias("within"), "part", "class", "copies", "grams")
     exact = round(threshold * 1000)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for t, starts in _runs(batches, ["cell"], 256):
+        for t, starts in _runs(batches, "cell", 2 * PART_ROWS):
             found: list[tuple[int, int, int]] = []
             copies, own, within, part = (t.column(c).to_numpy() for c in ("copies", "class", "within", "part"))
+            grams = t.column("grams").combine_chunks()
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-                sets = shingler.sets(t.column("text").slice(lo, hi - lo).to_pylist())
+                sets = [np.frombuffer(grams[i].as_buffer(), np.uint64) for i in range(lo, hi)]
                 both = overlaps(sets)
                 size = np.array([len(s) for s in sets], np.float64)
                 union = size[:, None] + size[None, :] - both
@@ -312,29 +383,33 @@ def verified_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFram
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "class long, linked long, root long")
 
 
-def joined(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def joined(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """A row for each row of ``docs``: doc_id, text_hash, group (class_id and its text hash) and n_links.
 
     Documents with equal n-gram sets are one class, of which one member is compared, and their links are
-    counted by the class's size.
+    counted by the class's size. Candidates only say which sets are compared; groups are what verified links connect.
     """
-    depth = prefix_length(threshold)
-    rows = write_table(described(docs, depth), "ngram-docs")
+    rows = write_table(described(docs, threshold), "ngram-docs")
     rows = rows.withColumn("class", F.xxhash64("key"))
     full = rows.where(F.col("key").isNotNull())
-    classes = full.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"))
+    one = [F.first(c).alias(c) for c in ("size", "depth", "prefixes", "deeper", "sketch")]
+    classes = full.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("first"), *one)
     classes = write_table(classes, "ngram-classes")
-    comps = write_table(components(candidate_edges(classes, least_agreement(depth * TREES, threshold))), "ngram-candidates")
-    sizes = comps.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    members = comps.join(sizes, "root").select(F.col("node").alias("class"), F.col("root").alias("comp"), "n").join(classes.select("class", "copies", "first"), "class")
-    picked = members.select("class", "copies", "comp", "n", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    agree = least_agreement(DEEPEST * TREES, threshold, miss)
+    comps = write_table(components(candidate_edges(classes, agree, prefix_length(threshold))), "ngram-candidates")
+    known = comps.join(classes.select("class", "copies", "first", "size"), F.col("node") == F.col("class"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("size") * 8 / PART_BYTES)).cast("int")
+    sizes = known.groupBy("root").agg(parts.alias("parts"))
+    few_groups = F.broadcast(sizes) if sizes.count() <= FEW else sizes
+    picked = known.join(few_groups, "root").select("class", "copies", F.col("root").alias("comp"), "parts", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    picked = write_table(picked, "ngram-picked")
     text = docs.select(F.col("doc_id").cast("bigint").alias("_id2"), F.xxhash64("text").alias("_hash2"), "text")
     on = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))
     few = picked.count() <= FEW
-    texts = text.join(F.broadcast(picked) if few else picked, on).select("class", "copies", "comp", "n", "text")
+    texts = text.join(F.broadcast(picked) if few else picked, on).select("class", "copies", "comp", "parts", "text")
     # A repeated row has its text here twice; the class is compared once.
     repeated = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
-    links = write_table(verified_links(texts.dropDuplicates(["class"]) if repeated else texts, threshold), "ngram-links")
+    links = write_table(verified_links(gram_sets(texts.dropDuplicates(["class"]) if repeated else texts), threshold), "ngram-links")
     counts = links.groupBy("class").agg(F.sum("linked").alias("linked"))
     groups = components(links.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
     named = classes.select("class", "copies", "first").join(counts, "class", "left").join(groups, "class", "left").withColumn("root", F.coalesce("root", "class"))

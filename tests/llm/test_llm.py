@@ -288,7 +288,7 @@ def near_copies(n=60, seed=8):
 @pytest.mark.parametrize("cell", [512, 7])
 def test_join_against_brute_force(spark, monkeypatch, cell):
     monkeypatch.setattr(ngram_join, "CELL", cell)
-    monkeypatch.setattr(ngram_join, "EXACT_CELL", cell)
+    monkeypatch.setattr(ngram_join, "PART_ROWS", cell)
     texts = [*near_copies(), "a b c", "a b c", "a b", "", None, "x y z w v u"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     linked = brute_groups(texts)
@@ -311,9 +311,19 @@ def test_join_of_odd_rows(spark):
     assert ngram_join.join_report(empty(spark)).count() == 0
 
 
-def test_prefix_is_shortened_to_the_recall():
-    depth = ngram_join.prefix_length()
-    assert ngram_join.recall(depth) >= ngram_join.RECALL > ngram_join.recall(depth + 1)
+def test_prefixes_are_shortened_to_the_recall():
+    shortest = ngram_join.prefix_length()
+    assert ngram_join.recall(shortest) >= ngram_join.RECALL > ngram_join.recall(shortest + 1)
+    for size in range(1, 60):
+        pairs = [(i, m) for m in range(1, 2 * size + 2) for i in range(min(size, m) + 1) if 5 * i >= 4 * (size + m - i) and not i == m == size]
+        depth = ngram_join.depth_of(size)
+        if not pairs:
+            assert depth == 0
+            continue
+        low = min(i / (size + m - i) for i, m in pairs)
+        assert ngram_join.least_similarity(size) == low and ngram_join.recall(depth, low) >= ngram_join.RECALL
+        assert depth == ngram_join.DEEPEST or ngram_join.recall(depth + 1, low) < ngram_join.RECALL
+    assert {ngram_join.depth_of(n) for n in (3, 4, 6, 500)} == {0, shortest, shortest + 1}
 
 
 @pytest.mark.parametrize("a, b, shared", [(5, 4, 4), (9, 9, 8), (10, 8, 8), (15, 12, 12), (30, 24, 24)])
@@ -321,12 +331,18 @@ def test_sketch_keeps_short_pairs_at_the_threshold(a, b, shared):
     rng = np.random.default_rng(a)
     drawn = [rng.integers(0, 1 << 64, a + b - shared, dtype=np.uint64) for _ in range(4000)]
     sets = [s for x in drawn for s in (np.sort(x[:a]), np.sort(x[a - shared : a - shared + b]))]
-    hashes = ngram_join.prefix_length() * ngram_join.TREES
-    bits = ngram_join.sketch_bits(ngram_join.signatures(sets, hashes))
-    same = (bits[:, ::2] == bits[:, 1::2]).sum(axis=0)
+    hashes = ngram_join.DEEPEST * ngram_join.TREES
+    bits = ngram_join.sketches(ngram_join.signatures(sets, hashes))
+    same = ngram_join.agreement(bits[::2], bits[1::2])
     assert (same >= ngram_join.least_agreement(hashes)).all()
-    # The bits of a pair are independent: their spread is the binomial one.
-    assert abs(same.std() / (hashes * 0.9 * 0.1) ** 0.5 - 1) < 0.1
+    # The values of a pair are independent: their spread is the binomial one.
+    p = shared / (a + b - shared)
+    p += (1 - p) / 4
+    assert same.mean() == pytest.approx(hashes * p, rel=0.01) and abs(same.std() / (hashes * p * (1 - p)) ** 0.5 - 1) < 0.1
+
+
+def test_without_sketches_no_candidate_is_dropped():
+    assert ngram_join.least_agreement(256, miss=0.0) == 0
 
 
 def test_join_of_short_texts_at_the_threshold(spark):
