@@ -28,7 +28,7 @@ MISS = 1e-7
 #: Members of a prefix that a task compares with each other at once by sketch.
 CELL = 512
 #: Members, and bytes of their sets, of each of the two parts that a task compares by exact sets.
-PART_ROWS, PART_BYTES = 1024, 8 << 20
+PART_ROWS, PART_BYTES = 256, 8 << 20
 #: Up to so many dropped or picked documents (about 100 bytes each) are broadcast.
 FEW = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
