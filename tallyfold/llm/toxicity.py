@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder_of_id, unit_hash
+from .common import remainder_of_id
 
-#: The training sample: documents with label 1 and with label 0, and words of a document, at most.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_WORDS = 2000, 6000, 500
+#: The training sample: documents with label 1 and with label 0, at most. Their whole texts are used.
+TRAIN_TOXIC, TRAIN_CLEAN = 1000, 3000
 BUCKETS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5, 6)
-#: Words whose embeddings are averaged; a document is as toxic as its most toxic window.
-WINDOW = 6
+#: Words of a window. A document's features are the logits of its most toxic window's average and of its whole bag's average.
+WINDOW = 2
+#: Subwords of fewer training documents are nothing to learn from, and stay zero.
+LEAST_DOCUMENTS = 4
 ROUNDS_ALL, ROUNDS_MAX, FOLDS = 40, 40, 2
 THRESHOLD = 0.3
 MOST_WORDS = 400_000
@@ -29,7 +31,7 @@ class Model:
     table: np.ndarray
     rows: np.ndarray
     bias: np.ndarray
-    scale: tuple[float, float, float]
+    scale: tuple[float, ...]
 
     def subword_logits(self) -> np.ndarray:
         """What each subword adds to the difference of the two logits; averages of these are windows' logits."""
@@ -79,6 +81,16 @@ class Bags:
         """The mean of each word's subwords' values."""
         return np.concatenate([word_means(values, buckets, starts) for _, buckets, starts, _ in self.chunks])
 
+    def documents(self, texts: list[np.ndarray]) -> np.ndarray:
+        """How many texts (of word numbers) each subword occurs in."""
+        flat, sizes = np.concatenate([b for _, b, _, _ in self.chunks]), np.concatenate([s for *_, s in self.chunks])
+        starts, total = np.cumsum(sizes) - sizes, np.zeros(BUCKETS, np.int64)
+        for own in texts:
+            own = np.unique(own)
+            n = sizes[own]
+            total[np.unique(flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[own], n)])] += 1
+        return total
+
     def spread(self, by_word: np.ndarray) -> np.ndarray:
         """For each subword the sum of what its words hand to it, in equal parts to all their subwords."""
         total = np.zeros(BUCKETS)
@@ -109,7 +121,8 @@ def train(texts: list[list[str]], toxic: np.ndarray, share: float | None = None,
 
     First every window has its document's label; then only the window that the model holds for the most toxic
     of its document has it, and by and by the words that make documents toxic stand out. All sums over
-    windows run over subwords, as a word's vector is the mean of its subwords' vectors. Scores are made
+    windows run over subwords, as a word's vector is the mean of its subwords' vectors. The average over a whole
+    document alone is too weak where a few words of many make it toxic, so both are features. Scores are made
     probabilities on documents that the model which scored them has not seen; share: of toxic documents in all
     labelled ones, if the sample's is another.
     """
@@ -117,10 +130,10 @@ def train(texts: list[list[str]], toxic: np.ndarray, share: float | None = None,
     texts, y = [texts[i] for i in kept], toxic[kept].astype(np.float64)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
-        return Model(np.zeros((BUCKETS, WIDTH)), np.zeros((2, WIDTH)), np.zeros(2), (0.0, 0.0, float(np.log(max(rate, 1e-3) / (1 - min(rate, 0.999))))))
+        return Model(np.zeros((BUCKETS, WIDTH)), np.zeros((2, WIDTH)), np.zeros(2), (0.0, 0.0, 0.0, float(np.log(max(rate, 1e-3) / (1 - min(rate, 0.999))))))
     model = _train(texts, y, seed)
     folds = np.arange(len(y)) % FOLDS
-    tops = np.zeros(len(y))
+    tops = np.zeros((len(y), 2))
     for f in range(FOLDS):
         rest = np.flatnonzero(folds != f)
         own = np.flatnonzero(folds == f)
@@ -137,7 +150,7 @@ def train(texts: list[list[str]], toxic: np.ndarray, share: float | None = None,
 
 def _train(texts: list[list[str]], y: np.ndarray, seed: int) -> Model:
     rng = np.random.default_rng(seed)
-    model = Model(rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH, rng.uniform(-0.1, 0.1, (2, WIDTH)), np.zeros(2), (1.0, 0.0, 0.0))
+    model = Model(rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH, rng.uniform(-0.1, 0.1, (2, WIDTH)), np.zeros(2), (1.0, 0.0, 0.0, 0.0))
     vocabulary: dict[str, int] = {}
     ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t), np.int64)
     ends = np.cumsum([len(t) for t in texts])
@@ -145,6 +158,8 @@ def _train(texts: list[list[str]], y: np.ndarray, seed: int) -> Model:
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     all_first, all_last, all_owner = windows(ends)
     begin = np.searchsorted(all_owner, np.arange(len(y)))
+    live = (bags.documents(np.split(ids, ends[:-1])) >= LEAST_DOCUMENTS)[:, None]
+    model.table *= live
     values = [model.table, model.rows, model.bias]
     first_m, second_m = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     for step in range(1, ROUNDS_ALL + ROUNDS_MAX + 1):
@@ -163,7 +178,7 @@ def _train(texts: list[list[str]], y: np.ndarray, seed: int) -> Model:
         edge = np.bincount(first, per, len(ids) + 1) - np.bincount(last, per, len(ids) + 1)
         by_bucket = bags.spread(np.bincount(ids, np.cumsum(edge)[:-1], bags.words))
         d_u = by_bucket @ model.table
-        grads = [by_bucket[:, None] * u + 1e-7 * model.table, np.stack([-d_u, d_u]), np.array([-g.sum(), g.sum()])]
+        grads = [(by_bucket[:, None] * u + 1e-7 * model.table) * live, np.stack([-d_u, d_u]), np.array([-g.sum(), g.sum()])]
         for v, d, m, s in zip(values, grads, first_m, second_m, strict=True):
             m += 0.1 * (d - m)
             s += 0.02 * (d * d - s)
@@ -173,13 +188,13 @@ def _train(texts: list[list[str]], y: np.ndarray, seed: int) -> Model:
 
 def features(tops: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """A longer text has more windows, so its largest logit says less."""
-    return np.stack([tops, np.log1p(n_words), np.ones(len(tops))], axis=1)
+    return np.stack([tops[:, 0], tops[:, 1], np.log1p(n_words), np.ones(len(tops))], axis=1)
 
 
-def calibrate(tops: np.ndarray, n_words: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+def calibrate(tops: np.ndarray, n_words: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
     """Weights of the features that make probabilities of them, by Newton's method with a small penalty."""
-    x, start = features(tops, n_words), np.array([1.0, 0.0, 0.0])
-    w, penalty = start.copy(), 1e-3 * np.array([1.0, 1.0, 1e-3])
+    x, start = features(tops, n_words), np.array([1.0, 0.0, 0.0, 0.0])
+    w, penalty = start.copy(), 1e-3 * np.array([1.0, 1.0, 1.0, 1e-3])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (weight * (p - y)) / len(y) + penalty * (w - start)
@@ -188,19 +203,19 @@ def calibrate(tops: np.ndarray, n_words: np.ndarray, y: np.ndarray, weight: np.n
         w -= move
         if np.abs(move).max() < 1e-8:
             break
-    return float(w[0]), float(w[1]), float(w[2])
+    return tuple(map(float, w))
 
 
 class Scorer:
     """Scores of whole texts; the subwords of a word are looked up once."""
 
-    def __init__(self, logits: np.ndarray, bias: np.ndarray, scale: tuple[float, float, float]) -> None:
+    def __init__(self, logits: np.ndarray, bias: np.ndarray, scale: tuple[float, ...]) -> None:
         self.logits, self.shift, self.scale = logits, bias[1] - bias[0], np.array(scale)
         self.memo: dict[str, int] = {}
         self.words = np.zeros(0)
 
     def tops(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The largest logit of a window of each text, neutral without words, and the texts' words."""
+        """Logits of each text's most toxic window and of all its words, neutral without words, and the texts' words."""
         memo, new, rows = self.memo, [], []
         if len(memo) > MOST_WORDS:
             memo.clear()
@@ -216,13 +231,13 @@ class Scorer:
             rows.append(row)
         if new:
             self.words = np.concatenate([self.words, word_means(self.logits, *subwords(new))])
-        top = np.zeros(len(rows))
+        top = np.zeros((len(rows), 2))
         for i, row in enumerate(rows):
             if row:
                 z = self.words[row]
                 total = np.concatenate([[0.0], np.cumsum(z)])
                 n = min(WINDOW, len(row))
-                top[i] = (total[n:] - total[:-n]).max() / n
+                top[i] = (total[n:] - total[:-n]).max() / n, total[-1] / len(row)
         return top + self.shift, np.array([len(row) for row in rows])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -233,21 +248,18 @@ class Scorer:
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[list[str]], np.ndarray, float | None]:
     """Texts, labels and the share of toxic documents in all labelled ones, from a bounded sample of labelled rows that are not held out, chosen by a hash.
 
-    A document with several labels is toxic if one says so. Of each text TRAIN_WORDS words in a row at most are used, from a hashed
-    place on: the fit is bounded, scores are not.
+    A document with several labels is toxic if one says so; of rows with the same id the smallest text counts. Texts are used whole.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder_of_id() != 2))
     known = known.groupBy(F.col("doc_id").alias("_tx_id")).agg(F.max(F.col("toxic").cast("int")).alias("_tx_toxic"))
     share = known.agg(F.avg("_tx_toxic")).first()[0]
     order = [F.md5(F.col("_tx_id").cast("string").cast("binary")), "_tx_id"]
     some = known.where("_tx_toxic = 1").orderBy(*order).limit(TRAIN_TOXIC).unionByName(known.where("_tx_toxic = 0").orderBy(*order).limit(TRAIN_CLEAN))
-    words = F.split(F.col("text"), r"\s+")
-    draw = unit_hash(F.concat(F.lit("tox:"), F.col("_tx_id").cast("string")))
-    words = F.slice(words, F.floor(draw * F.greatest(F.size(words) - TRAIN_WORDS, F.lit(0))).cast("int") + 1, TRAIN_WORDS)
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_tx_id"))
-    rows = joined.where(F.col("text").isNotNull()).select("_tx_id", F.array_join(words, " ").alias("words"), "_tx_toxic").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN)).collect()
-    rows.sort(key=lambda r: (r["_tx_id"], r["words"]))
-    return [words_of(r["words"]) for r in rows], np.array([r["_tx_toxic"] for r in rows], np.int64), share
+    joined = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("_tx_id"))
+    rows = joined.groupBy("_tx_id", "_tx_toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["_tx_id"])
+    same: dict[str, str] = {}
+    return [[same.setdefault(w, w) for w in words_of(r["text"])] for r in rows], np.array([r["_tx_toxic"] for r in rows], np.int64), share
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
