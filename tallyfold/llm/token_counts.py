@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, write_table
 from .tokens import encoder, vocabulary
 
 #: The separator is the vocabulary's end of text, which no ordinary text yields; ids fit 16 bits.
@@ -64,20 +64,36 @@ def flat_tokens(docs: DataFrame, block_bytes: int = BLOCK_BYTES, vocab: tuple[st
 
 
 def read_flat(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Flat token files of a folder (each under 2 GB) as (file, block, data)."""
-    files = spark.read.format("binaryFile").load(path)
-    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / block_bytes)))
-    data = F.expr(f"substring(content, cast(block * {block_bytes} + 1 as int), {block_bytes})")
-    return files.where("length > 0").select("path", "content", at.alias("block")).select(F.col("path").alias("file"), "block", data.alias("data"))
+    """Flat token files of a folder as (file, block, data).
+
+    Files are read in ranges, as records of ``block_bytes`` bytes, by as many tasks as there are ranges; no row holds more than a block.
+    The last block of a file is shorter, so a file's size need not be a multiple.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / block_bytes))).alias("block")
+    wanted = files.select("path", "length", at)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for name, length, block in zip(*[b.column(c).to_pylist() for c in ("path", "length", "block")], strict=True):
+                system, at = fs.FileSystem.from_uri(name if "://" in name else "file://" + name.removeprefix("file:"))
+                with system.open_input_file(at) as f:
+                    f.seek(block * block_bytes)
+                    data = f.read(min(block_bytes, length - block * block_bytes))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
+
+    return wanted.repartition("path", "block").mapInArrow(run, "file string, block long, data binary")
 
 
 def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
     """Documents of flat files and their token counts, without separators: file, place, n_tokens.
 
     blocks: (file, block, data), blocks numbered from 0 and whole numbers of ids long. Each block is
-    searched by itself for separators. Running sums and a running maximum over a file's blocks, of which
-    each is one small row, then say where the document that a block begins in started. Tokens after the last separator of a file are its last
-    document; an empty document counts 0.
+    searched by itself for separators. A prefix scan over a file's blocks, of four numbers each, then says where the
+    document that a block begins in started and how many came before; the blocks' own counts join it only after that. Tokens after
+    the last separator of a file are its last document; an empty document counts 0.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,11 +113,12 @@ def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYP
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["file", "block", "n", "ends", "first", "last", "inner"])
 
-    found = blocks.select("file", "block", "data").mapInArrow(run, "file string, block long, n long, ends long, first long, last long, inner array<long>")
+    found = write_table(blocks.select("file", "block", "data").mapInArrow(run, "file string, block long, n long, ends long, first long, last long, inner array<long>"), "token-blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    at = found.withColumns({"_at": F.coalesce(F.sum("n").over(before), F.lit(0)), "_place": F.coalesce(F.sum("ends").over(before), F.lit(0))})
+    at = found.select("file", "block", "n", "ends", "last").withColumns({"_at": F.coalesce(F.sum("n").over(before), F.lit(0)), "_place": F.coalesce(F.sum("ends").over(before), F.lit(0))})
     at = at.withColumn("_stop", F.col("_at") + F.col("last") + 1)
     at = at.withColumns({"_from": F.coalesce(F.max("_stop").over(before), F.lit(0)), "_next": F.lead("block").over(Window.partitionBy("file").orderBy("block"))})
+    at = at.select("file", "block", "_at", "_place", "_stop", "_from", "_next").join(found, ["file", "block"])
     total = F.col("_at") + F.col("n")
     left = total - F.coalesce("_stop", "_from")
     open_end = F.when(F.col("_next").isNull() & (left > 0), F.array(left)).otherwise(F.array().cast("array<bigint>"))

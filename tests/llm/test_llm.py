@@ -520,26 +520,66 @@ def test_language_on_held_out_documents(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
 
 
-def test_gradients_match_differences():
+def small_network(h=3, langs=("a", "b")):
     rng = np.random.default_rng(0)
-    words, labels = [b"abc", b"de", b"f"], np.array([0, 1, 1])
-    codes, mask = language_id.as_codes(words)
-    h = 3
-    net = language_id.Network(["a", "b"], *[rng.standard_normal(s) * 0.5 for s in ((2, 256, 3 * h), (2, h, 3 * h), (2 * h, 2), (2,))])
+    return language_id.Network(list(langs), *[rng.standard_normal(s) * 0.5 for s in ((2, 256, 3 * h), (2, h, 3 * h), (2 * h, len(langs)), (len(langs),))])
+
+
+def test_gradients_match_differences():
+    net, labels = small_network(), np.array([0, 1, 1])
+    codes, said = np.frombuffer(b"abcdede ff. ", np.uint8).reshape(3, 4), np.array([[1, 1, 1, 1], [1, 1, 1, 0], [1, 1, 0, 0]], np.float64)
 
     def loss():
-        p, _ = language_id._probs(net, codes, mask)
-        return -(np.log(p[:, np.arange(3), labels]) * mask.T).sum() / mask.sum()
+        p = language_id.position_probs(net, language_id.states(net, codes), 0, 4)
+        return -(np.log(p[:, np.arange(3), labels]) * said.T).sum() / said.sum()
 
-    for value, grad in zip((net.enter, net.recur, net.out, net.bias), language_id._gradients(net, codes, mask, labels), strict=True):
+    for value, grad in zip((net.enter, net.recur, net.out, net.bias), language_id.gradients(net, codes, said, labels), strict=True):
         for at in list(zip(*np.nonzero(np.abs(grad) > 1e-3), strict=True))[:8]:
             old = value[at]
-            value[at] = old + 1e-2
+            value[at] = old + 1e-4
             up = loss()
-            value[at] = old - 1e-2
+            value[at] = old - 1e-4
             down = loss()
             value[at] = old
-            assert (up - down) / 2e-2 == pytest.approx(grad[at], rel=0.05, abs=2e-4)
+            assert (up - down) / 2e-4 == pytest.approx(grad[at], rel=1e-3, abs=1e-6)
+
+
+def brute_language(net, text):
+    """The same network step by step, window by window, with plain loops."""
+    raw, h, k = text.lower().encode(), net.recur.shape[1], len(net.langs)
+    total, n = np.zeros(k), 0
+    for lo in range(0, len(raw), language_id.CORE):
+        at = range(lo - language_id.WARM, lo + language_id.CORE + language_id.WARM)
+        # Bytes beyond a neighbour's window still belong to the text; beyond its ends are zeros.
+        codes = [raw[i] if 0 <= i < len(raw) else 0 for i in at]
+        found = []
+        for d in (0, 1):
+            state, out = np.zeros(h), []
+            for c in codes if d == 0 else codes[::-1]:
+                x, r = net.enter[d][c], state @ net.recur[d]
+                update, reset = (1 / (1 + np.exp(-(x + r)[i * h : (i + 1) * h])) for i in (0, 1))
+                new = np.tanh(x[2 * h :] + reset * r[2 * h :])
+                state = update * state + (1 - update) * new
+                out.append(state)
+            found.append(out if d == 0 else out[::-1])
+        for i, (p, a, b) in enumerate(zip(at, *found, strict=True)):
+            if lo <= p < min(lo + language_id.CORE, len(raw)) and (codes[i] >= 128 or chr(codes[i]).isalpha()):
+                e = np.exp(np.concatenate([a, b]) @ net.out + net.bias)
+                total, n = total + e / e.sum(), n + 1
+    return net.langs[int(total.argmax())], total.max() / n
+
+
+def test_language_against_brute_force():
+    net = small_network(langs=("a", "b", "c"))
+    texts = ["Ein Satz.", "x", "é1 " * 300, "Some words, 12 of them. " * 40, "y" * language_id.CORE, "z" * (language_id.CORE + 1)]
+    for (lang, score), text in zip(language_id.predict(net, [*texts[:3], None, "12 ...", *texts[3:]])[:3] + language_id.predict(net, texts[3:]), texts, strict=True):
+        assert (lang, score) == (brute_language(net, text)[0], pytest.approx(brute_language(net, text)[1], rel=1e-9))
+    assert language_id.predict(net, [None, "12 ...", ""]) == [("und", 0.0)] * 3
+
+
+def test_states_run_across_words():
+    net = small_network()
+    assert language_id.predict(net, ["ab cd"])[0][1] != pytest.approx(language_id.predict(net, ["cd ab"])[0][1], abs=1e-6)
 
 
 def test_language_of_odd_rows(spark):
@@ -569,6 +609,37 @@ def test_toxicity_learns_word_parts(spark):
     assert right >= 0.93 * len(rows)
 
 
+def test_toxicity_against_brute_force():
+    """Scores of a trained model, window by window from the embeddings themselves."""
+    rng = random.Random(7)
+    texts = [[rng.choice(["alpha", "beta", "gamma", "delta", "vile"][: 5 if i % 3 == 0 else 4]) for _ in range(rng.randint(1, 30))] for i in range(60)]
+    model = toxicity.train(texts, np.array([int("vile" in t) for t in texts]))
+
+    def vector(word):
+        buckets, _ = toxicity.subwords([word])
+        return model.table[buckets].mean(axis=0)
+
+    def logit(words):
+        z = model.rows @ np.mean([vector(w) for w in words], axis=0) + model.bias
+        return z[1] - z[0]
+
+    asked = [*texts[:10], ["vil", "unseen"], []]
+    got = toxicity.Scorer(model.subword_logits(), model.bias, model.scale).score([" ".join(t) for t in asked])
+    for words, score in zip(asked, got, strict=True):
+        n = min(toxicity.WINDOW, len(words))
+        both = (max(logit(words[i : i + n]) for i in range(len(words) - n + 1)), logit(words)) if words else (model.bias[1] - model.bias[0],) * 2
+        want = np.dot([*both, np.log1p(len(words)), 1.0], model.scale)
+        assert score == pytest.approx(1 / (1 + np.exp(-np.clip(want, -30, 30))), rel=1e-6)
+
+
+@needs_data
+def test_toxicity_on_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    rows = toxicity.toxicity_report(docs, labels).where("held_out").join(labels, "doc_id").where("toxic is not null").collect()
+    high, low = ([r["score"] for r in rows if r["toxic"] == k] for k in (1, 0))
+    assert sum((a > b) + (a == b) / 2 for a in high for b in low) >= 0.9 * len(high) * len(low)
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (6, 1), (6, 0), (7, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     for known in (labels, labels.limit(0)):
@@ -577,10 +648,19 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.toxicity_report(empty(spark), labels).count() == 0
 
 
-def test_no_language_is_left_out_of_the_sample(spark):
+def test_no_language_and_no_part_of_a_text_is_left_out_of_the_sample(spark):
     rows = [(i, f"word{chr(97 + i % 26)} text", f"l{i % 210:03}") for i in range(210 * 12)]
     words, labels, langs = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(langs) == 210 and set(labels.tolist()) == set(range(210))
+    long = " ".join(f"n{i}x" for i in range(20_000))
+    parts, _, _ = language_id.training_sample(spark.createDataFrame([(1, long, "l"), (1, long, "l")], "doc_id long, text string, lang string"), each=10**6, most=10**6)
+    assert len(parts) == -(-len(long) // language_id.CORE) and sum(map(len, parts)) == len(long)
+
+
+def test_rejection_is_relative_to_chance(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "fit", lambda docs: language_id.Network(["a", "b"], *[np.zeros(s, np.float32) for s in ((2, 256, 6), (2, 2, 6), (4, 2), (2,))]))
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    assert language_id.keep_identified(docs).count() == 0 and language_id.keep_identified(docs, clear=0.0).count() == 1
 
 
 # ---- nearest neighbours
@@ -638,6 +718,12 @@ def test_search_holds_recall_without_structure(spark, monkeypatch):
     assert recall(nn_descent.sure_search(nodes, links, queries, pool=60, target=1.0)) == 1
 
 
+def test_vectors_of_other_widths_take_no_part(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)] + [(100, [1.0]), (200, [1.0, 2.0, 3.0])]
+    got = nn_descent.nearest_report(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, i) for i in range(1, 11)]
+
+
 def test_few_vectors(spark):
     df = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert nn_descent.nearest_report(df([])).count() == 0
