@@ -40,9 +40,9 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def compatible(text: Column, ascii_only: bool = False) -> Column:
-    """NFKC form. Spark has no such function; ``ascii_only`` says that texts need none."""
-    return text if ascii_only else nfkc(text)
+def compatible(text: Column) -> Column:
+    """NFKC form. Spark has no such function; texts of ASCII characters alone are their own and do not leave the JVM."""
+    return F.coalesce(nfkc(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
 
 
 def singular(word: Column) -> Column:
@@ -50,12 +50,12 @@ def singular(word: Column) -> Column:
     return F.when(plural, F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
 
 
-def canonical_key(text: Column, ascii_only: bool = False) -> Column:
+def canonical_key(text: Column) -> Column:
     """The distinct words of a name in order: no case, brackets, punctuation, stop words or plurals.
 
     Well-known phrases become acronyms. A null or empty name has the empty key.
     """
-    t = F.lower(compatible(F.coalesce(text, F.lit("")), ascii_only))
+    t = F.lower(compatible(F.coalesce(text, F.lit(""))))
     t = F.regexp_replace(t, r"\([^)]*\)|\[[^\]]*\]", " ")
     t = F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
     for phrase, acronym in ACRONYMS:

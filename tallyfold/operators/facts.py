@@ -46,7 +46,7 @@ def parse_failures(found: DataFrame) -> DataFrame:
     return found.where(F.col("problem").isNotNull()).select("document_id", F.lit("parse").alias("stage"), F.lit("llm_json").alias("kind"), F.substring("problem", 1, 500).alias("message"))
 
 
-def build_facts(found: DataFrame, pages: DataFrame, documents: DataFrame, first_id: int = 1, fy_start_month: int = 4, ascii_only: bool = False) -> DataFrame:
+def build_facts(found: DataFrame, pages: DataFrame, documents: DataFrame, first_id: int = 1, fy_start_month: int = 4) -> DataFrame:
     """Facts of the fit candidates, with evidence, normalised values, keys, flags and duplicates marked.
 
     pages: document_id, page_index, label, text. documents: document_id, publication_date, fiscal_year_start_month (null: the
@@ -63,9 +63,9 @@ def build_facts(found: DataFrame, pages: DataFrame, documents: DataFrame, first_
             "value_num": F.when(F.col("value_kind") == "number", number),
             "canonical_unit": normalize_unit(F.col("unit")),
             "_period": period_or_dates(F.col("period"), F.col("period_start"), F.col("period_end"), F.col("_fy")),
-            "entity_key": canonical_key(F.col("entity"), ascii_only),
-            "attribute_key": canonical_key(F.col("attribute"), ascii_only),
-            "basis_key": canonical_key(F.col("measurement_basis"), ascii_only),
+            "entity_key": canonical_key(F.col("entity")),
+            "attribute_key": canonical_key(F.col("attribute")),
+            "basis_key": canonical_key(F.col("measurement_basis")),
         }
     ).withColumn("period_key", period_key(F.col("_period")))
     rows = rows.withColumns(
@@ -94,6 +94,8 @@ def numbered(rows: DataFrame, order: list[str], first_id: int = 1) -> DataFrame:
     Rows are dealt by ranges of the order, which splits large documents too. A row's id is its place in its range after
     the rows of earlier ranges; only the ranges' counts, a row each, meet in one task.
     """
+    # Ranges are found by reading the rows once more, so they are made once before.
+    rows = stored(rows, "unnumbered")
     ranged = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))

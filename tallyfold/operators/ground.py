@@ -36,17 +36,18 @@ def verify_quotes(rows: DataFrame, quote: str = "quote", page: str = "text", sou
     """All columns and ``grounding`` (verified, score, method).
 
     The text as it is, then without case and punctuation, then a close alignment; a quote from an image that is not found
-    says so. Only rows that the first two tiers leave are aligned. A null page is empty, a null quote is not found.
+    says so. Only rows that the first two tiers leave are aligned: for the others nulls go to the function. Rows are read
+    once. A null page is empty, a null quote is not found.
     """
-    tried = rows.withColumn("grounding", exact_tiers(F.col(quote), F.col(page)))
-    rest = tried.where(F.col("grounding").isNull())
-    rest = rest.withColumn("_score", partial_score_udf(_spaced(F.col(quote)), _spaced(F.coalesce(F.col(page), F.lit("")))))
+    tried = rows.withColumn("_tier", exact_tiers(F.col(quote), F.col(page)))
+    left = lambda c: F.when(F.col("_tier").isNull(), _spaced(F.coalesce(F.col(c), F.lit(""))))
+    rest = tried.withColumn("_score", partial_score_udf(left(quote), left(page)))
     score = F.round("_score", 4)
     lost = _result(False, score, "not_found")
     if source:
         lost = F.when(F.col(source) == "image", _result(False, 0.0, "image_only")).otherwise(lost)
-    rest = rest.withColumn("grounding", F.when(F.col("_score") >= CLOSE, _result(True, score, "fuzzy")).otherwise(lost)).drop("_score")
-    return tried.where(F.col("grounding").isNotNull()).unionByName(rest)
+    close = F.when(F.col("_score") >= CLOSE, _result(True, score, "fuzzy")).otherwise(lost)
+    return rest.withColumn("grounding", F.coalesce("_tier", close)).drop("_tier", "_score")
 
 
 def evidence_failures(facts: DataFrame) -> DataFrame:

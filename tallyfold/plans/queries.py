@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, numbers, periods
-from ..operators import block, classify, facts, ground, link, tieout
+from ..operators import block, classify, facts, ground, link, requests, tieout
 from ..schemas import VIEW
 from ..sources import layers, memo, pages
 from ..tables import shared_dir, stored
@@ -237,13 +237,21 @@ _NAMED = "'Growth of ' || p_name || ' (' || p_type || ') in the Gross Domestic P
 def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "part")
     name = F.concat(F.lit("Growth of "), "p_name", F.lit(" ("), "p_type", F.lit(") in the Gross Domestic Product, y-o-y: "), "p_brand", F.lit("s"))
-    named = p.select("p_partkey", "p_type", keys.canonical_key(name, ascii_only=True).alias("key"))
+    named = p.select("p_partkey", "p_type", keys.canonical_key(name).alias("key"))
     return named.select("p_partkey", "key", keys.fact_key(F.col("key"), F.col("p_type"), F.lit("unknown")).alias("fact_key"))
 
 
 @register(f"select event_id, {_key_sql('props')} as key from events")
 def event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", keys.canonical_key(F.col("props"), ascii_only=True).alias("key"))
+    return _table(spark, sf_dir, "events").select("event_id", keys.canonical_key(F.col("props")).alias("key"))
+
+
+@register(f"select p_partkey, {_key_sql('p_name')} as key from part")
+def wide_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in full-width letters, half of them, have the keys of plain ones."""
+    plain = "abcdefghijklmnopqrstuvwxyz"
+    wide = F.translate("p_name", plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
+    return _table(spark, sf_dir, "part").select("p_partkey", keys.canonical_key(F.when(F.col("p_partkey") % 2 == 0, wide).otherwise(F.col("p_name"))).alias("key"))
 
 
 _QUOTE = "case doc_id % 3 when 0 then substr(text, 11, 60) when 1 then replace(substr(text, 3, 50), ' ', ' - ') else reverse(substr(text, 1, 40)) end"
@@ -425,6 +433,16 @@ def copy_layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(layers.copy_layer(source, {"documents": documents, "pages": none, "facts": all_facts, "relations": relations, "failures": failures}))
 
 
+@register(f"""with {_EDGES}, parts as (select unnest([big_id, small_id]) as part, total_id, sv, small_id, bv, big_id, {_TOLD} as explanation from edges)
+select least(part, total_id) as fact_a_id, greatest(part, total_id) as fact_b_id, 'derived' as verdict, 'final' as status, 'arithmetic' as method, 0.85 as confidence, arg_min(explanation, (sv, small_id, bv, big_id)) as explanation from parts group by 1, 2""")
+def linked_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass of rules and tie-outs at the default cap over facts whose attributes are too far apart for the rules."""
+    q = stored(load(spark, sf_dir, QUANTITY_FACTS), "quantities")
+    none = {"estimate_type": F.lit("actual"), "basis_key": F.lit(""), "attributed_to": F.lit(None).cast("string"), "evidence_verified": F.lit(True), "publication_date": F.lit(None).cast("date")}
+    made = link.rule_pass(q.withColumns(none).select(*VIEW), q, spark.createDataFrame([], "fact_a_id long, fact_b_id long"))
+    return made.select("fact_a_id", "fact_b_id", "verdict", "status", "method", "confidence", "explanation")
+
+
 @register(f"with {_RULES} select fact_a_id, fact_b_id, verdict from relations")
 def incremental_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of documents, each linked with what is there: the same relations as at once."""
@@ -461,6 +479,103 @@ def adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.adjudicate(relations, judged, all_facts).select("fact_a_id", "fact_b_id", "verdict", "status", "method", "confidence", "attempts")
 
 
+_CREATED = "select o_orderpriority as document_id, min(cast(o_orderdate as date)) as created_at from orders group by o_orderpriority"
+
+
+@register(f"""with {_F}, d as ({_CREATED}), n as (select document_id, count_if(not is_duplicate) as facts_count from f group by document_id)
+select document_id, strftime(created_at, '%Y-%m-%d') as created_at, facts_count, row_number() over (order by created_at, document_id) as place from d join n using (document_id)""")
+def documents_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order of their creation; their place is what the listing's order says."""
+    listed = views.list_documents(load(spark, sf_dir, _CREATED), load(spark, sf_dir, PAGES), _order_facts(spark, sf_dir))
+    place = F.row_number().over(Window.orderBy("created_at", "document_id"))
+    return listed.select("document_id", F.col("created_at").cast("string").alias("created_at"), "facts_count", place.alias("place"))
+
+
+@register(f"""with g as ({PAGES}), k as (select *, row_number() over (partition by document_id order by page_index) as k from g),
+t as (select document_id, 'file: ' || document_id || '.pdf' || chr(10) || 'first pages:' || chr(10) || substr(string_agg(text, chr(10) || chr(10) order by page_index), 1, 12000) as request from k where k <= 3 group by document_id)
+select document_id, md5(request) as request, length(request) as n from t where right(document_id, 1) <> '7'""")
+def metadata_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked of documents whose metadata is not done, by their first pages."""
+    pages = load(spark, sf_dir, PAGES)
+    documents = pages.select("document_id").distinct().select("document_id", F.concat("document_id", F.lit(".pdf")).alias("filename"), F.col("document_id").endswith("7").alias("meta_done"))
+    out = requests.metadata_requests(documents, pages)
+    return out.select("document_id", F.md5(F.col("request").cast("binary")).alias("request"), F.length("request").cast("long").alias("n"))
+
+
+@register("""select s_suppkey, case when k in (0, 4) then s_name else 'Report ' || s_suppkey end as title, case when k = 1 then strftime(date '2020-02-01' + cast(s_suppkey % 300 as int), '%Y-%m-%d') end as publication_date,
+  case k when 0 then null when 1 then 7 when 4 then 1 else 4 end as fiscal_year_start_month, k <> 0 as meta_done from (select *, s_suppkey % 5 as k from supplier)""")
+def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers on documents: whole ones, partial ones, with odd values, malformed ones, and one that comes too late."""
+    k = F.col("s_suppkey") % 5
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", k.alias("k"))
+    documents = rows.select(
+        F.col("s_suppkey").alias("document_id"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("publisher"), F.lit(None).cast("date").alias("publication_date"),
+        F.lit(None).cast("string").alias("document_type"), F.when(F.col("k") == 4, 1).alias("fiscal_year_start_month"), (F.col("k") == 4).alias("meta_done"),
+    )
+    title = F.concat(F.lit('{"title": "Report '), F.col("s_suppkey").cast("string"), F.lit('"'))
+    date = F.date_format(F.date_add(F.lit("2020-02-01").cast("date"), (F.col("s_suppkey") % 300).cast("int")), "yyyy-MM-dd")
+    response = F.when(F.col("k") == 0, "no json").when(F.col("k") == 1, F.concat(title, F.lit(', "publication_date": "'), date, F.lit('", "fiscal_year_start_month": 7}'))).when(F.col("k") == 2, F.concat(title, F.lit(', "publication_date": "spring"}'))).otherwise(F.concat(title, F.lit(', "fiscal_year_start_month": 13}')))
+    told = rows.select(F.col("s_suppkey").alias("document_id"), response.alias("response"), F.lit(None).cast("string").alias("error"))
+    return requests.with_metadata(documents, told).select(F.col("document_id").alias("s_suppkey"), "title", F.col("publication_date").cast("string").alias("publication_date"), "fiscal_year_start_month", "meta_done")
+
+
+@register(f"""with g as ({PAGES}) select document_id, page_index, case when status = 'failed' then 0 else attempts end as attempts, row_number() over (partition by document_id order by page_index) as place from g
+where status in ('pending', 'failed') or (status = 'processing' and page_index % 2 = 0)""")
+def open_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to work on in order, failed ones with their attempts back; those held for longer than the lease are free again."""
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    held = F.when(F.col("page_index") % 2 == 0, F.lit("2024-01-01 11:54:59")).otherwise(F.lit("2024-01-01 11:55:01")).cast("timestamp")
+    rows = requests.open_pages(load(spark, sf_dir, PAGES).withColumn("updated_at", held), now, retry_failed=True)
+    return rows.select("document_id", "page_index", "attempts", F.row_number().over(Window.partitionBy("document_id").orderBy("page_index")).alias("place"))
+
+
+@register(f"""with {_RULES} select fact_a_id, fact_b_id, (fact_a_id + fact_b_id) % 4 as attempts, row_number() over (order by fact_a_id, fact_b_id) as place from relations where status = 'pending_llm' and (fact_a_id + fact_b_id) % 4 < 3""")
+def open_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relations = _relations(spark, sf_dir)[1].withColumn("attempts", F.pmod(F.col("fact_a_id") + F.col("fact_b_id"), F.lit(4)))
+    found = requests.open_relations(relations).select("fact_a_id", "fact_b_id", "attempts")
+    return facts.numbered(found, ["fact_a_id", "fact_b_id"]).select("fact_a_id", "fact_b_id", "attempts", F.col("id").alias("place"))
+
+
+@register(f"""with {_F}, d as ({PUBLISHERS}) select id, md5('entity: ' || entity || chr(10) || 'attribute: ' || attribute || chr(10) || 'value: ' || cast(value_num as bigint) || ' USD' || chr(10) || 'normalised value: ' || cast(value_num as bigint) || '.0 USD' || chr(10)
+  || 'period: ' || case when period_key = 'unknown' then 'unknown' else substr(period_key, 1, 4) || ' (' || replace(period_key, ':', ' to ') || ')' end || chr(10) || 'estimate type: ' || estimate_type || chr(10) || 'measurement basis: ' || case when basis_key = '' then 'not stated' else basis_key end || chr(10)
+  || 'attributed to: ' || coalesce(attributed_to, 'the document itself') || chr(10) || 'document: ' || title || '; publisher: unknown; published: ' || coalesce(strftime(d.publication_date, '%Y-%m-%d'), 'unknown') || chr(10) || 'page label: 7' || chr(10)
+  || 'evidence verified: ' || case when evidence_verified then 'True (exact)' else 'False (not_found)' end || chr(10) || 'quote: "' || quote || '"') as description from f join d using (document_id)""")
+def fact_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.col("period_key") != "unknown"
+    rows = _order_facts(spark, sf_dir).withColumns(
+        {
+            "value_raw": F.col("value_num").cast("bigint").cast("string"), "unit_raw": F.lit("USD"), "scale_raw": F.lit(None).cast("string"), "period_raw": F.when(known, F.substring("period_key", 1, 4)),
+            "period_start": F.when(known, F.substring("period_key", 1, 10)).cast("date"), "period_end": F.when(known, F.substring("period_key", 12, 10)).cast("date"), "measurement_basis": F.col("basis_key"),
+            "page_label": F.lit(None).cast("string"), "page_index": F.lit(7), "verify_method": F.when(F.col("evidence_verified"), "exact").otherwise("not_found"),
+        }
+    )
+    told = requests.describe_facts(rows, load(spark, sf_dir, PUBLISHERS).withColumn("publisher", F.lit(None).cast("string")))
+    return told.select("id", F.md5(F.col("description").cast("binary")).alias("description"))
+
+
+@register(f"""with x as ({FAILURES}), d as ({PUBLISHERS})
+select 'failures' as "table", '{{"document_id":"' || document_id || '","id":' || id || ',"kind":"' || kind || '","stage":"' || stage || '"}}' as row from x where document_id = '2-HIGH'
+union all select 'failures', '{{"id":' || id || ',"kind":"' || kind || '","stage":"' || stage || '"}}' from x where document_id is null
+union all select 'documents', '{{"document_id":"' || document_id || '","filename":"' || filename || '","publication_date":"' || strftime(publication_date, '%Y-%m-%d') || '","status":"extracted","title":"' || title || '"}}' from d where document_id = '2-HIGH'""")
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scope's documents and failures as JSON rows."""
+    documents = load(spark, sf_dir, PUBLISHERS)
+    relations = spark.createDataFrame([], "fact_a_id long, fact_b_id long")
+    tables = views.export_scope(documents, load(spark, sf_dir, PAGES), _order_facts(spark, sf_dir), relations, load(spark, sf_dir, FAILURES), documents.where("document_id = '2-HIGH'").select("document_id"))
+    return views.export_rows({n: tables[n] for n in ("documents", "failures")})
+
+
+@register("""select source as document_id, doc_id as page_index, 'verify' as stage, 'quote_not_found' as kind, substr(reverse(text), 1, 40) as message from documents where text is not null and length(trim(substr(reverse(text), 1, 40), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0 and doc_id % 4 = 0
+union all select source, doc_id, 'validate', 'validator', 'percent_out_of_range' from documents where text is not null and doc_id % 4 = 1""")
+def evidence_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of documents that were not found, came from an image that is, and whose values are flagged."""
+    d = _table(spark, sf_dir, "documents").where("text is not null")
+    k, quote = F.col("doc_id") % 4, F.expr("substr(reverse(text), 1, 40)")
+    lost = (k == 0) & (F.length(F.btrim(quote, F.lit(" \t\n\x0b\x0c\r"))) > 0)
+    rows = d.select(F.col("source").alias("document_id"), F.col("doc_id").alias("id"), quote.alias("quote"), F.when(lost, "not_found").otherwise("exact").alias("verify_method"), F.when(k == 1, F.array(F.lit("percent_out_of_range"))).otherwise(F.array().cast("array<string>")).alias("validator_flags"))
+    return ground.evidence_failures(rows).withColumnRenamed("fact_id", "page_index")
+
+
 @register(f"""with g as ({PAGES}) select document_id, page_index, case page_index % 3 when 0 then cast(page_index % 400 as varchar) when 1 then cast(page_index % 90 as varchar) else 'xiv' end as label,
 length(text)::int as char_count, case when length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) < 20 then 'skipped' else 'pending' end as status from g""")
 def page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,7 +604,7 @@ def extraction_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = facts.candidates(d.select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_index"), answer.alias("answer")))
     own = d.select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_index"), F.lit(None).cast("string").alias("label"), "text")
     documents = d.select(F.col("source").alias("document_id")).distinct().select("document_id", F.lit("2000-01-01").cast("date").alias("publication_date"), F.lit(None).cast("int").alias("fiscal_year_start_month"))
-    made = facts.build_facts(found, own, documents, ascii_only=True)
+    made = facts.build_facts(found, own, documents)
     return made.select("document_id", "page_index", "value_num", "unit", "attribute_key", "entity_key", "evidence_verified", "period_key")
 
 

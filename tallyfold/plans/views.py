@@ -42,6 +42,15 @@ def list_facts(
     return some.join(documents.select("document_id", "filename"), "document_id").orderBy("id").offset(offset).limit(limit)
 
 
+def list_documents(documents: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
+    """Documents with their pages by status and their facts without duplicates, in the order in which they were created."""
+    by_status = pages.groupBy("document_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    counts = by_status.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("pages"))
+    own = facts.where(~F.col("is_duplicate")).groupBy("document_id").agg(F.count(F.lit(1)).alias("facts_count"))
+    rows = documents.join(counts, "document_id", "left").join(own, "document_id", "left")
+    return rows.withColumn("facts_count", F.coalesce("facts_count", F.lit(0))).orderBy("created_at", "document_id")
+
+
 def with_facts(relations: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
     """Relations with columns of both their facts, as a_ and b_ columns."""
     for p in ("a", "b"):
@@ -181,3 +190,9 @@ def export_scope(documents: DataFrame, pages: DataFrame, facts: DataFrame, relat
         "failures": failures.where("document_id is null").unionByName(failures.join(ids, "document_id", "left_semi")),
         "attribute_schema": attribute_schema(facts),
     }
+
+
+def export_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, row): every row of a scope as one JSON object. Written as text, tables are parts of one export, whatever their size."""
+    parts = [t.select(F.lit(name).alias("table"), F.to_json(F.struct(*sorted(t.columns))).alias("row")) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -29,6 +29,9 @@ CANDIDATE = T.StructType(
 #: A page's answer. Its facts stay text, so that one bad fact spoils only itself.
 ENVELOPE = "page_kind string, facts array<string>, problems array<string>"
 
+#: What a model says of a document.
+DOCUMENT_META = T.StructType([T.StructField(n, _s) for n in ("title", "publisher", "publication_date", "document_type")] + [T.StructField("fiscal_year_start_month", T.IntegerType())])
+
 #: What linking needs of a fact.
 VIEW = ["id", "document_id", "entity_key", "attribute_key", "value_num", "unit", "period_key", "estimate_type", "basis_key", "attributed_to", "evidence_verified", "publication_date"]
 

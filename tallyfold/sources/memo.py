@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
 RECORD = "key string, model string, purpose string, request string, response string, usage map<string,long>"
 ANSWER = "key string, response string, usage map<string,long>, error string"
 MODES = ("off", "live", "record", "replay")
@@ -49,7 +51,8 @@ def answers(requests: DataFrame, records: DataFrame, mode: str = "replay", provi
             yield pd.DataFrame({"key": f["key"], "response": [t[0] for t in told], "usage": [t[1] for t in told], "error": [t[2] for t in told]})
 
     missing = both.where(F.col("response").isNull()).dropDuplicates(["key"])
-    asked = missing.select("key", "request").mapInPandas(ask, ANSWER)
+    # Stored, so that each request is asked once however often the results are read.
+    asked = stored(missing.select("key", "request").mapInPandas(ask, ANSWER), "answers")
     out = both.join(asked.select("key", F.col("response").alias("_r"), "error"), "key", "left")
     new = missing.select("key", "model", "purpose", "request").join(asked.where("error is null").select("key", "response", "usage"), "key")
     return out.withColumn("response", F.coalesce("response", "_r")).drop("_r"), new if mode == "record" else none

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only a session without one gets a folder of its own."""
+    """``spark.checkpoint.dir`` of the session; only a session on a single machine may be without one and gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tallyfold-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
