@@ -19,10 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (tests, a single machine) gets a folder of its own.
+    Only a session on a single machine (tests) may be without that setting and gets a folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tallyfold-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
