@@ -29,18 +29,22 @@ def rarest(facts: DataFrame, column: str, keep: int) -> DataFrame:
     return words.join(counts, "word").withColumn("rank", rank).where(F.col("rank") <= keep).select("id", "word", "rank")
 
 
-def directed_pairs(facts: DataFrame) -> DataFrame:
+def postings(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(probes, posts): facts by the words they look for and by all words they are found under."""
+    some = stored(eligible(facts), "eligible")
+    anchors = rarest(some, "words", ANCHORS).select("id", F.col("word").alias("anchor"))
+    named = stored(some.join(rarest(some, "names", 1).select("id", F.col("word").alias("name")), "id", "left"), "named")
+    probes = named.join(anchors, "id").select("id", "document_id", "unit", "anchor", "name", "names")
+    return probes, named.select("id", "document_id", "unit", F.explode("words").alias("anchor"), "name", "names")
+
+
+def directed_pairs(probes: DataFrame, posts: DataFrame) -> DataFrame:
     """(probe, partner) where the partner has one of the probe's rarest attribute words, and names may match.
 
     Names match only if one set of words contains the other. Then the rarest word of the smaller set is in the
     larger one, so besides attribute word and unit that word is a join key, once for each side; only facts without
     a name are joined without it. A frequent attribute word so costs no pairs between different entities.
     """
-    some = stored(eligible(facts), "eligible")
-    anchors = rarest(some, "words", ANCHORS).select("id", F.col("word").alias("anchor"))
-    named = stored(some.join(rarest(some, "names", 1).select("id", F.col("word").alias("name")), "id", "left"), "named")
-    probes = named.join(anchors, "id").select("id", "document_id", "unit", "anchor", "name", "names")
-    posts = named.select("id", "document_id", "unit", F.explode("words").alias("anchor"), "name", "names")
     one, each = lambda d: d.where("name is not null"), lambda d: d.withColumn("name", F.explode("names"))
     p = lambda d: d.select(F.col("id").alias("probe"), F.col("document_id").alias("probe_doc"), "unit", "anchor", "name")
     q = lambda d: d.select(F.col("id").alias("partner"), F.col("document_id").alias("partner_doc"), "unit", "anchor", "name")
@@ -56,15 +60,9 @@ def directed_pairs(facts: DataFrame) -> DataFrame:
     return ids[0].unionByName(ids[1]).unionByName(ids[2]).unionByName(ids[3]).distinct()
 
 
-def scored_pairs(facts: DataFrame) -> DataFrame:
-    """(a_id, b_id, score, probe, partner): candidate pairs, a_id below b_id, and where each first comes up.
-
-    The score is 1 for equal attribute keys, else their Jaccard similarity from 0.5 on, else a fuzzy ratio from
-    85 % on, which only pairs without either need. Facts come in order of their ids, and a fact's
-    partners by falling score and rising id.
-    """
+def scored(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a_id, b_id, score, probe, partner) of directed pairs that are near enough, see ``scored_pairs``."""
     some = eligible(facts).select("id", "attribute_key", "words", "names")
-    pairs = directed_pairs(facts)
     both = pairs.join(some.select(F.col("id").alias("probe"), *[F.col(c).alias(f"p_{c}") for c in ("attribute_key", "words", "names")]), "probe")
     both = both.join(some.select(F.col("id").alias("partner"), *[F.col(c).alias(f"q_{c}") for c in ("attribute_key", "words", "names")]), "partner")
     both = both.where(entities_match(F.col("p_names"), F.col("q_names")))
@@ -82,6 +80,44 @@ def scored_pairs(facts: DataFrame) -> DataFrame:
     return once.select("a_id", "b_id", (-F.col("first.minus")).alias("score"), "first.probe", "first.partner")
 
 
+def scored_pairs(facts: DataFrame) -> DataFrame:
+    """(a_id, b_id, score, probe, partner): candidate pairs, a_id below b_id, and where each first comes up.
+
+    The score is 1 for equal attribute keys, else their Jaccard similarity from 0.5 on, else a fuzzy ratio from
+    85 % on, which only pairs without either need. Facts come in order of their ids, and a fact's
+    partners by falling score and rising id.
+    """
+    return scored(facts, directed_pairs(*postings(facts)))
+
+
+def candidates_of(facts: DataFrame, new: DataFrame, most: int | None = MOST_PARTNERS) -> DataFrame:
+    """The rows of ``build_candidates(facts, most)`` with a fact of ``new`` (id), without making all pairs of the others.
+
+    A fact of at most ``most`` pairs never stands in a pair's way. So the pairs of new facts and of their partners are
+    made, and from there on only those of partners of facts above the cap, until there are no more. Without a cap the first step is all. Words are counted over all facts.
+    """
+    probes, posts = (stored(d, "postings") for d in postings(facts))
+    fresh, known, pairs = stored(new.select("id").distinct(), "fresh"), None, None
+    while True:
+        own = probes.join(fresh, "id", "left_semi"), posts.join(fresh, "id", "left_semi")
+        made = scored(facts, directed_pairs(own[0], posts).unionByName(directed_pairs(probes, own[1])).distinct())
+        if most is None:
+            return made.select("a_id", "b_id", "score")
+        first = pairs is None
+        known = fresh if first else known.unionByName(fresh)
+        pairs = stored(made if first else pairs.unionByName(made).dropDuplicates(["a_id", "b_id"]), "pairs")
+        sides = pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("other")).unionByName(pairs.select(F.col("b_id").alias("id"), F.col("a_id").alias("other")))
+        if not first:  # all pairs of known facts are there, so they can be counted
+            above = sides.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).join(known, "id", "left_semi")
+            sides = sides.join(above.select("id"), "id", "left_semi")
+        fresh = stored(sides.select(F.col("other").alias("id")).distinct().join(known, "id", "left_anti"), "fresh")
+        if fresh.limit(1).count() == 0:
+            break
+    mark = lambda c: new.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}")).distinct()
+    kept = capped_pairs(pairs, most).join(mark("a_id"), "a_id", "left").join(mark("b_id"), "b_id", "left")
+    return kept.where("_a_id or _b_id").select("a_id", "b_id", "score")
+
+
 def capped_pairs(pairs: DataFrame, most: int = MOST_PARTNERS) -> DataFrame:
     """Pairs that a greedy pass in order keeps, when a fact may have ``most`` partners.
 
@@ -103,5 +139,7 @@ def capped_pairs(pairs: DataFrame, most: int = MOST_PARTNERS) -> DataFrame:
             return open_pairs.select("a_id", "b_id", "score")
 
 
-def build_candidates(facts: DataFrame, most: int = MOST_PARTNERS) -> DataFrame:
-    return capped_pairs(scored_pairs(facts), most)
+def build_candidates(facts: DataFrame, most: int | None = MOST_PARTNERS) -> DataFrame:
+    """Candidate pairs with their scores; ``most`` of None sets no cap."""
+    pairs = scored_pairs(facts)
+    return pairs.select("a_id", "b_id", "score") if most is None else capped_pairs(pairs, most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DIMENSIONS, VIEW
-from .block import MOST_PARTNERS, build_candidates
+from .block import MOST_PARTNERS, build_candidates, candidates_of
 from .classify import as_pairs, classify_pairs
 from .tieout import arithmetic_edges, derived_relations
 
@@ -21,27 +21,22 @@ def fact_views(facts: DataFrame, documents: DataFrame) -> DataFrame:
     return dated.select(*VIEW)
 
 
-def rule_pass(views: DataFrame, unpaired: DataFrame, existing: DataFrame, most: int = MOST_PARTNERS) -> DataFrame:
+def rule_pass(views: DataFrame, unpaired: DataFrame, existing: DataFrame, most: int | None = MOST_PARTNERS) -> DataFrame:
     """New relations of the facts in ``unpaired`` (id) with all facts of ``views``.
 
     Pairs in ``existing`` are left as they are, so a second pass adds nothing and a new document pairs only its own facts. A
-    rule's relation comes before a tie-out's for the same pair.
+    rule's relation comes before a tie-out's for the same pair. Old facts are read, but paired only as far as the
+    cap of new facts' partners asks for, and only groups with a new fact are tied out.
     """
     new = unpaired.select("id").distinct()
-    touched = lambda ids, *cols: ids.where(F.greatest(*cols))
-
-    def flagged(rows: DataFrame, column: str) -> DataFrame:
-        mark = new.select(F.col("id").alias(column), F.lit(True).alias(f"_new_{column}"))
-        return rows.join(mark, column, "left").fillna(False, [f"_new_{column}"])
-
-    pairs = build_candidates(views, most).select("a_id", "b_id")
-    pairs = touched(flagged(flagged(pairs, "a_id"), "b_id"), "_new_a_id", "_new_b_id").select("a_id", "b_id")
+    if views.join(new, "id", "left_anti").limit(1).count():
+        pairs = candidates_of(views, new, most)
+    else:
+        pairs, new = build_candidates(views, most), None
     old = existing.select(*PAIR)
-    pairs = pairs.join(old.select(F.col("fact_a_id").alias("a_id"), F.col("fact_b_id").alias("b_id")), ["a_id", "b_id"], "left_anti")
+    pairs = pairs.select("a_id", "b_id").join(old.select(F.col("fact_a_id").alias("a_id"), F.col("fact_b_id").alias("b_id")), ["a_id", "b_id"], "left_anti")
     ruled = classify_pairs(as_pairs(pairs, views)).withColumn("explanation", F.col("hypothesis"))
-    edges = flagged(flagged(flagged(arithmetic_edges(views), "big_id"), "small_id"), "total_id")
-    edges = touched(edges, "_new_big_id", "_new_small_id", "_new_total_id")
-    derived = derived_relations(edges).join(old, PAIR, "left_anti").join(ruled.select(*PAIR), PAIR, "left_anti")
+    derived = derived_relations(arithmetic_edges(views, new)).join(old, PAIR, "left_anti").join(ruled.select(*PAIR), PAIR, "left_anti")
     return ruled.unionByName(derived)
 
 

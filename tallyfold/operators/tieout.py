@@ -13,21 +13,28 @@ LEAST, MOST = 3, 40
 KEY = ["entity_key", "period_key", "unit"]
 
 
-def arithmetic_edges(facts: DataFrame) -> DataFrame:
+def arithmetic_edges(facts: DataFrame, new: DataFrame | None = None) -> DataFrame:
     """(big_id, small_id, total_id, place, explanation): big + small = total, as closely as the unit is printed.
 
     The three share entity, period and unit, have three attributes and come from two documents at least. Only
     groups of LEAST to MOST facts are searched, so a group's triples are bounded. Both parts are below the total.
+    With ``new`` (id) only groups that such a fact belongs to are searched, and each edge has one.
     """
     some = facts.where(F.col("unit").isin(*ADDITIVE) & (F.col("value_num") > 0))
+    if new is not None:
+        some = some.join(new.select("id", F.lit(True).alias("is_new")).distinct(), "id", "left").fillna(False, ["is_new"])
+        some = some.join(some.where("is_new").select(*KEY).distinct(), KEY, "left_semi")
+    else:
+        some = some.withColumn("is_new", F.lit(True))
     sizes = some.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(LEAST, MOST))
-    some = some.join(sizes, KEY).select(*KEY, "id", "document_id", "attribute_key", "value_num")
-    named = lambda p: some.select(*KEY, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "document_id", "attribute_key", "value_num")])
+    some = some.join(sizes, KEY).select(*KEY, "id", "document_id", "attribute_key", "value_num", "is_new")
+    named = lambda p: some.select(*KEY, *[F.col(c).alias(f"{p}_{c}") for c in ("id", "document_id", "attribute_key", "value_num", "is_new")])
     small, big, total = named("s"), named("b"), named("t")
     ordered = (F.col("s_value_num") < F.col("b_value_num")) | ((F.col("s_value_num") == F.col("b_value_num")) & (F.col("s_id") < F.col("b_id")))
     parts = small.join(big, KEY).where(ordered & (F.col("s_attribute_key") != F.col("b_attribute_key")))
     three = parts.join(total, KEY).where(
-        (F.col("b_value_num") < F.col("t_value_num"))
+        F.expr("s_is_new or b_is_new or t_is_new")
+        & (F.col("b_value_num") < F.col("t_value_num"))
         & ~F.col("t_attribute_key").isin(F.col("s_attribute_key"), F.col("b_attribute_key"))
         & ~((F.col("s_document_id") == F.col("b_document_id")) & (F.col("b_document_id") == F.col("t_document_id")))
         & values_equal(F.col("s_value_num") + F.col("b_value_num"), F.col("t_value_num"), F.col("unit"))

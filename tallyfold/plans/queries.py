@@ -449,8 +449,8 @@ def incremental_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_views = stored(_order_facts(spark, sf_dir).where("not is_duplicate").select(*VIEW), "views")
     none = spark.createDataFrame([], "fact_a_id long, fact_b_id long")
     early = all_views.where("document_id < '4'")
-    first = stored(link.rule_pass(early, early, none, most=10_000), "relations")
-    second = link.rule_pass(all_views, all_views.where("document_id >= '4'"), first, most=10_000)
+    first = stored(link.rule_pass(early, early, none, most=None), "relations")
+    second = link.rule_pass(all_views, all_views.where("document_id >= '4'"), first, most=None)
     return first.unionByName(second).where("method = 'rule'").select("fact_a_id", "fact_b_id", "verdict")
 
 
@@ -619,5 +619,5 @@ def stream_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_views = _order_facts(spark, sf_dir).where("not is_duplicate").select(*VIEW)
     all_views.withColumn("part", F.when(F.col("document_id") < "4", 0).otherwise(1)).repartition("part").drop("part").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(all_views.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    link_stream(stream, f"{folder}/out", f"{folder}/checkpoint", most=10_000).awaitTermination()
+    link_stream(stream, f"{folder}/out", f"{folder}/checkpoint", most=None).awaitTermination()
     return spark.read.parquet(f"{folder}/out/relations").where("method = 'rule'").select("fact_a_id", "fact_b_id", "verdict")

@@ -10,7 +10,7 @@ from ..operators.link import PAIR, rule_pass
 from ..schemas import RELATIONS
 
 
-def link_batch(spark: SparkSession, batch: DataFrame, folder: str, batch_id: int, most: int = MOST_PARTNERS) -> None:
+def link_batch(spark: SparkSession, batch: DataFrame, folder: str, batch_id: int, most: int | None = MOST_PARTNERS) -> None:
     """Adds a batch of fact views to ``folder``/facts and its new relations to ``folder``/relations.
 
     Each batch has its own folder and is written whole, so a batch that is run again replaces what it wrote. Facts that are
@@ -35,7 +35,7 @@ def _read(spark: SparkSession, path: str, schema: str, below: int) -> DataFrame:
     return spark.read.schema(f"{schema}, batch bigint").parquet(path).where(f"batch < {below}").drop("batch")
 
 
-def link_stream(facts: DataFrame, folder: str, checkpoint: str, most: int = MOST_PARTNERS) -> StreamingQuery:
+def link_stream(facts: DataFrame, folder: str, checkpoint: str, most: int | None = MOST_PARTNERS) -> StreamingQuery:
     """Links a stream of fact views until its source is used up. Rows there stay as they are."""
     spark = facts.sparkSession
     writer = facts.writeStream.foreachBatch(lambda batch, i: link_batch(spark, batch, folder, i, most))

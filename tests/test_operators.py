@@ -114,6 +114,24 @@ def test_link_is_incremental(spark):
     assert link.rule_pass(df, df.where("id = 3"), none).count() == 2
 
 
+@pytest.mark.parametrize(("most", "new"), [(1, [1, 12, 20]), (2, [3, 11, 19])])
+def test_new_facts_are_paired_as_in_a_full_pass(spark, most, new):
+    rng = random.Random(most)
+    attributes, entities = ["gdp growth", "gdp growth real", "gdp growths", "export"], ["india", "government india", "china", ""]
+    rows = [{"id": i, "document_id": str(i % 7), "attribute_key": rng.choice(attributes), "entity_key": rng.choice(entities), "value_num": float(rng.randrange(1, 9)), "unit": "count"} for i in range(1, 21)]
+    df, ids = views(spark, *rows).coalesce(1), spark.createDataFrame([(i,) for i in new], "id long").coalesce(1)
+    whole = {tuple(r) for r in block.build_candidates(df, most).collect() if {r["a_id"], r["b_id"]} & set(new)}
+    assert whole and {tuple(r) for r in block.candidates_of(df, ids, most).collect()} == whole
+
+
+def test_new_facts_are_tied_out_as_in_a_full_pass(spark):
+    rng = random.Random(5)
+    df = views(spark, *[{"id": i, "document_id": str(i % 4), "attribute_key": f"part {i % 5}", "value_num": float(rng.randrange(1, 9)), "unit": "count", "entity_key": rng.choice("xyz")} for i in range(1, 41)])
+    ids = spark.createDataFrame([(5,), (30,)], "id long")
+    edges = [r for r in tieout.arithmetic_edges(df).collect() if {r["big_id"], r["small_id"], r["total_id"]} & {5, 30}]
+    assert edges and sorted(map(tuple, tieout.arithmetic_edges(df, ids).collect())) == sorted(map(tuple, edges))
+
+
 def test_adjudication(spark):
     df = views(spark, {}, {"id": 2, "document_id": "b", "value_num": 8.0, "evidence_verified": False})
     rel = link.rule_pass(df, df, spark.createDataFrame([], "fact_a_id long, fact_b_id long"))
