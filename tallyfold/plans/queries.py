@@ -90,7 +90,16 @@ def candidate_pairs_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a_id", "b_id", F.round("score", 6).alias("score"))
 
 
-@register()
+# The greedy pass in order, as a fold over each entity's pairs; no pair joins two entities.
+@register(f"""with {_PAIRS},
+w as (select id, unnest(words) as word from v), c as (select word, count(*) as n from w group by word),
+anchors as (select id, list(word order by n, word)[1:2] as rare from w join c using (word) group by id),
+placed as (select a_id, b_id, score, a.who, case when len(list_intersect(rare, b.words)) > 0 then a_id else b_id end as probe
+  from pairs join anchors on anchors.id = a_id join v a on a.id = a_id join v b on b.id = b_id),
+passes as (select who, list_reduce(list_prepend([]::bigint[], list([a_id, b_id] order by probe, score desc, a_id + b_id - probe)), lambda kept, p:
+    case when greatest(len(list_filter(kept, lambda x: x = p[1])), len(list_filter(kept, lambda x: x = p[2]))) < 3 then list_concat(kept, p) else kept end) as kept from placed group by who),
+sides as (select kept, unnest(range(1, len(kept), 2)) as i from passes)
+select a_id, b_id, score from sides join pairs on a_id = kept[i] and b_id = kept[i + 1]""")
 def candidate_pairs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block.build_candidates(_order_facts(spark, sf_dir).where("not is_duplicate"), most=3)
 
@@ -107,7 +116,16 @@ def attribute_score_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("p_partkey", F.round(keys.jaccard(F.col("a"), F.col("b")), 6).alias("score"), keys.entities_match(F.col("a"), F.col("b")).alias("one_in_other"))
 
 
-@register()
+# A row of the table of common lengths is the running maximum of what the row before allows.
+@register(r"""with n as (select p_partkey, list_sort(list_distinct(string_split(p_name, ' '))) as a,
+  list_sort(list_distinct(list_filter(string_split(regexp_replace(array_to_string(list_reverse(string_split(p_name, ' ')), ' '), '[aeiou](.)', '\1', 'g'), ' '), lambda x: x <> ''))) as b from part),
+s as (select *, list_filter(a, lambda x: list_contains(b, x)) as shared, list_filter(a, lambda x: not list_contains(b, x)) as only_a, list_filter(b, lambda x: not list_contains(a, x)) as only_b from n),
+t as (select *, array_to_string(shared, ' ') as base, array_to_string(list_concat(shared, only_a), ' ') as x, array_to_string(list_concat(shared, only_b), ' ') as y from s),
+m as (select *, list_transform(string_split(y, ''), lambda c: list_transform(string_split(x, ''), lambda d: (c = d)::int)) as equal from t),
+l as (select *, list_reduce(list_prepend(list_transform(string_split(x, ''), lambda d: 0), equal), lambda line, same: list_transform(range(1, len(line) + 1), lambda j:
+    list_max(list_transform(range(1, j + 1), lambda i: greatest(line[i], case when i = 1 then 0 else line[i - 1] end + same[i])))))[-1] as common from m)
+select p_partkey, case when len(shared) > 0 and (len(only_a) = 0 or len(only_b) = 0) then 100.0::double when len(shared) = 0 then 200.0::double * common / (length(x) + length(y))
+  else greatest(200.0::double * common / (length(x) + length(y)), 200.0::double * length(base) / (length(base) + length(x)), 200.0::double * length(base) / (length(base) + length(y))) end as ratio, 100.0::double as same from l""")
 def fuzzy_attribute_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy ratios of each part's name and the same name misspelt and shuffled."""
     from ..functions.fuzzy import token_set_ratio_udf
