@@ -71,8 +71,40 @@ select doc_id, min(reach.b) as class_id, (select count(*) from links where links
 from documents join reach on reach.a = doc_id group by doc_id
 """
 
+#: All distances, summed in the order of the components.
+NEAREST_SQL = """
+with fit as (select distinct vec_id, embedding::double[] as v from embeddings where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select * from fit where len(v) = (select len(v) from fit group by 1 order by count(*) desc, 1 desc limit 1)),
+d as (select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) as score
+      from u q join u c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+k as (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d)
+select query_id, rank::int as rank, vec_id, score from k where rank <= 10
+"""
+
+
+def shard_sql(shards: int = 16) -> str:
+    """Law ``rows`` along the curve, crc32 by its table of steps, for tables of one sub-bucket (up to SUB_ROWS documents)."""
+    bits = hilbert_shards.BITS
+    crc = lambda text: f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: (instr('123456789ABCDEF', p[1]) * 16 + instr('123456789ABCDEF', p[2]))::bigint)),
+      lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"""
+    return f"""
+with steps as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as steps),
+names as (select name, {crc("name")} % {1 << bits} as level from (select coalesce(source, '') as name from documents union select coalesce(lang, '') from documents), steps),
+d as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, coalesce(text, '') as text, octet_length(encode(coalesce(text, ''))) + 1 as size from documents),
+t as (select text, {crc("text")} as text_crc32 from (select distinct text from d), steps),
+c as (select doc_id, size, text_crc32, {hilbert_shards.curve(3, bits)}[(s.level * {1 << bits} + l.level) * {1 << bits} + least(floor(log2(size)), {(1 << bits) - 1})::bigint + 1] as place
+  from d join t using (text) join names s on s.name = source join names l on l.name = lang),
+r as (select *, row_number() over (order by place, doc_id, text_crc32) - 1 as rank, count(*) over () // {shards} as each, count(*) over () % {shards} as more from c),
+k as (select *, case when rank < more * (each + 1) then rank // (each + 1) else more + (rank - more * (each + 1)) // greatest(each, 1) end as shard from r)
+select doc_id, size, text_crc32, 'rows' as law, shard::int as shard, row_number() over (partition by shard order by rank) - 1 as slot, null::int as grown_shard from k
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.mix_sql(),
     "op2_ngram_join": NGRAM_SQL,
     "op3_quality_rules": quality_rules.quality_sql(),
+    "op7_nn_descent": NEAREST_SQL,
+    "op8_hilbert_shards": shard_sql(),
 }
