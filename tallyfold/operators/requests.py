@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..plans.views import MOST_VOCABULARY, claimable
 from ..schemas import DOCUMENT_META
 from ..sources.memo import answers, request_key
@@ -18,10 +19,26 @@ MOST_PAGE_TEXT, FIRST_PAGES = 6000, 3
 
 
 def plain_number(value: Column) -> Column:
-    """A number as digits with a point, also where Spark would print an exponent; from 1e15 on and below 0.0001 as Spark prints it."""
-    size, whole = F.abs(value), value == F.floor(value)
-    digits = F.regexp_replace(value.cast("decimal(38,16)").cast("string"), "0+$", "")
-    return F.when((size >= 1e15) | ((size < 1e-4) & (value != 0)), value.cast("string")).when(whole, F.concat(value.cast("bigint").cast("string"), F.lit(".0"))).otherwise(digits)
+    """A double as the fewest digits that name it, with a point, and an exponent from 1e16 on and below 0.0001."""
+
+    def placed(text: Column) -> Column:
+        bare = F.ltrim(text, F.lit("-"))
+        power = F.substring_index(bare, "e", -1).cast("int")
+        digits = F.rtrim(F.replace(F.substring_index(bare, "e", 1), F.lit(".")), F.lit("0"))
+        first, rest = F.left(digits, F.lit(1)), F.substring(digits, 2, 20)
+        pointed = F.concat(F.left(F.rpad(digits, power + 1, F.lit("0")), power + 1), F.lit("."), F.coalesce(F.nullif(F.substring(digits, power + 2, F.lit(20)), F.lit("")), F.lit("0")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        scientific = F.concat(first, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.substring(text, F.instr(text, "e"), F.lit(9)))
+        shown = F.when((power >= 16) | (power < -4), scientific).when(power < 0, small).otherwise(pointed)
+        return F.concat(F.when(text.startswith("-"), "-").otherwise(""), shown)
+
+    def fewest(v: Column) -> Column:
+        text = lambda n: F.format_string(f"%.{n - 1}e", v)
+        return F.coalesce(*[F.when(text(n).cast("double") == v, text(n)) for n in (15, 16)], text(17))
+
+    finite = lambda v: ~(F.isnan(v) | F.abs(v).isin(float("inf")))
+    odd = lambda v: F.when(F.isnan(v), "nan").when(v > 0, "inf").otherwise("-inf")
+    return bind(value.cast("double"), lambda v: F.when(finite(v), bind(fewest(v), placed)).when(v.isNotNull(), odd(v)))
 
 
 def describe_facts(facts: DataFrame, documents: DataFrame) -> DataFrame:

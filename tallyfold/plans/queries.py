@@ -138,15 +138,18 @@ def fuzzy_attribute_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CENTS = "cast(round(o_totalprice * 100) as bigint)"
 
 
-@register(f"select o_orderkey, case when o_orderkey % 9 = 8 then null else case when o_orderkey % 9 in (1, 2, 6) then -1 else 1 end * {_CENTS} / 100.0 end as value from orders")
+@register(f"select o_orderkey, case when o_orderkey % 16 = 8 or o_orderkey % 16 > 9 then null else case when o_orderkey % 16 in (1, 2, 6, 9) then -1 else 1 end * {_CENTS} / 100.0 end as value from orders")
 def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts printed in many ways, and some that only look like amounts, such as the marks of footnotes."""
     o = _table(spark, sf_dir, "orders")
     plain, comma = F.format_string("%.2f", "o_totalprice"), F.format_number("o_totalprice", 2)
-    k = F.col("o_orderkey") % 9
+    k = F.col("o_orderkey") % 16
+    around = lambda before, amount, after: F.concat(F.lit(before), amount, F.lit(after))
     printed = (
-        F.when(k == 0, comma).when(k == 1, F.concat(F.lit("("), comma, F.lit(")"))).when(k == 2, F.concat(F.lit("(-) "), plain)).when(k == 3, F.concat(F.lit("US$ "), comma, F.lit(" mn")))
-        .when(k == 4, F.concat(F.lit("₹"), plain)).when(k == 5, F.concat(F.lit("J"), comma)).when(k == 6, F.concat(F.lit("−"), plain)).when(k == 7, F.concat(plain, F.lit(" per cent")))
-        .otherwise(F.concat(F.lit("("), plain, F.lit("%)")))
+        F.when(k == 0, comma).when(k == 1, around("(", comma, ")")).when(k == 2, around("(-) ", plain, "")).when(k == 3, around("US$ ", comma, " mn"))
+        .when(k == 4, around("₹", plain, "")).when(k == 5, around("J", comma, "")).when(k == 6, around("−", plain, "")).when(k == 7, around("", plain, " per cent"))
+        .when(k == 8, around("(", plain, "%)")).when(k == 9, around("(-", comma, ") net")).when(k == 10, around("note ", plain, ")")).when(k == 11, around("Table ", comma, ") of"))
+        .when(k == 12, around("abc ", plain, "")).when(k == 13, around("-(", plain, ")")).when(k == 14, around("[", comma, "]")).otherwise(around("(note ", plain, ")"))
     )
     return o.select("o_orderkey", numbers.parse_number(printed).alias("value"))
 

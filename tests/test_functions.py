@@ -16,7 +16,8 @@ def mapped(spark, values, fn, kind="string"):
 NUMBERS = {
     "7,08,15,920": 70815920.0, "1,048,576.25": 1048576.25, "48": 48.0, ".75": 0.75, "$.75": 0.75, "£.05 m": 0.05, "(-) 31.4": -31.4, "( - )31.4": -31.4, "(17)": -17.0, "( 17 )": -17.0, "(17 bn": None, "(17,) bn": None,
     "−8": -8.0, "-€9": -9.0, "€ -9": -9.0, "+3": 3.0, "Rs.19": 19.0, "rs 19 lakh": 19.0, "us$1.5 tn": 1.5, "GBP 6": 6.0, "chf 6": None, "K62.5": 62.5, "K 62.5": None, "kg62": None, "62 kg": 62.0, "62.": 62.0, "62, net": 62.0,
-    "1,2": None, "12,3456": None, "1234,567": None, "1.2.3": None, "5 of 9": None, "H2 2031": None, "tbd": None, "--": None, "$": None, "": None, "\t": None, None: None,
+    "1,2": None, "12,3456": None, "1234,567": None, "1.2.3": None, "5 of 9": None, "H2 2031": None, "tbd": None, "--": None, "~6": None,
+    "note 3)": None, "Table 5)": None, "abc 7) x": None, "-(5)": None, "(-5)": -5.0, "+(5)": None, "[4]": None, "chf (6)": None, "(note 6)": None, "R s 5": None, "- J 5": None, "- J5": -5.0, "fn 8)": None, "8)": 8.0, "$": None, "": None, "\t": None, None: None,
 }
 
 
@@ -62,7 +63,7 @@ def test_values_equal(spark):
 
 PERIODS = {
     "FY31": ("2030-04-01", "2031-03-31", "fy"), "fiscal 2017": ("2016-04-01", "2017-03-31", "fy"), "F.Y. '19": ("2018-04-01", "2019-03-31", "fy"), "Financial Year 2011/12": ("2011-04-01", "2012-03-31", "fy"), "2007-08": ("2007-04-01", "2008-03-31", "fy"),
-    "1998 - 1999": ("1998-04-01", "1999-03-31", "fy"), "2007-09": None, "Q2 2015–16": ("2015-07-01", "2015-09-30", "quarter"), "q4 of fy 2020": ("2020-01-01", "2020-03-31", "quarter"), "Q5 FY20": None, "2012 Q3": ("2012-07-01", "2012-09-30", "quarter"), "2012Q0": None,
+    "1998 - 1999": ("1998-04-01", "1999-03-31", "fy"), "2007-09": None, "Q2 2015–16": ("2015-07-01", "2015-09-30", "quarter"), "q4 of fy 2020": ("2020-01-01", "2020-03-31", "quarter"), "Q5 FY20": None, "2012 Q3": ("2012-07-01", "2012-09-30", "quarter"), "2012Q0": None, "Q32019": ("2018-10-01", "2018-12-31", "quarter"), "h22019-20": ("2019-10-01", "2020-03-31", "half"), "q119": ("2018-04-01", "2018-06-30", "quarter"), "h32019": None, "q1": None,
     "H2FY18": ("2017-10-01", "2018-03-31", "half"), "H3 FY18": None, "6M FY22": ("2021-04-01", "2021-09-30", "range"), "3mfy2022": ("2021-04-01", "2021-06-30", "range"), "0M FY22": None, "CY 2003": ("2003-01-01", "2003-12-31", "calendar"), "2003": ("2003-01-01", "2003-12-31", "calendar"),
     "Feb 2028": ("2028-02-01", "2028-02-29", "month"), "Sept to Nov 2019": ("2019-09-01", "2019-11-30", "range"), "November-January 2020": ("2019-11-01", "2020-01-31", "range"), "at 7 May 2009": ("2009-05-07", "2009-05-07", "asof"), "End of June 2014": ("2014-06-30", "2014-06-30", "asof"),
     "as of 2016-02-29": ("2016-02-29", "2016-02-29", "asof"), "as at 1/12/2013.": ("2013-12-01", "2013-12-01", "asof"), "as on 30 February 2014": None, "as on a day": None, "six months period ending September 30, 2010": ("2010-04-01", "2010-09-30", "range"),
