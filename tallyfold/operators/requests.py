@@ -19,7 +19,7 @@ MOST_PAGE_TEXT, FIRST_PAGES = 6000, 3
 
 
 def plain_number(value: Column) -> Column:
-    """A double as the fewest digits that name it, with a point, and an exponent from 1e16 on and below 0.0001."""
+    """A double as the fewest digits that name it, with a point, and an exponent from 1e16 on and below 0.0001. Below 1e-307 digits may be too many."""
 
     def placed(text: Column) -> Column:
         bare = F.ltrim(text, F.lit("-"))
