@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, language_id, mixing, ngram_join, nn_descent, packing, pii, quality_rules, token_counts, toxicity
+from . import conversation_repair, hilbert_shards, language_id, mixing, ngram_join, nn_descent, packing, pii, quality_rules, token_counts, toxicity
 from .common import read_table
 
 #: The key of the registered query and pipeline, so that their results repeat. A deployment passes its own.
@@ -53,8 +53,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.conversation_report(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_token_counts, op7_nn_descent, op8_hilbert_shards, op9_pii, op10_language_id)
+    f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_token_counts, op7_nn_descent, op8_hilbert_shards, op9_pii, op10_language_id, op11_conversation_repair)
 }
 
 #: All pairs that share a shingle, by exact sets of words.
@@ -83,6 +87,55 @@ select query_id, rank::int as rank, vec_id, score from k where rank <= 10
 """
 
 
+#: The table of crc32's steps, and crc32 of a text by it.
+CRC_STEPS = "steps as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as steps)"
+
+
+def crc_sql(text: str) -> str:
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: (instr('123456789ABCDEF', p[1]) * 16 + instr('123456789ABCDEF', p[2]))::bigint)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"
+
+
+def repair_sql() -> str:
+    """The cheapest edits and their letters by a fold from the last turn to the first, a state's least (cost, letters) each."""
+    cost = lambda c, a: f"{{'c': ({c})::bigint, 'a': {a}}}"
+    onward = (3, 3, 4, 3)
+    option = lambda to, letter, c, when: cost(f"case when {when} then v[{to}].c + {c} else 1000000000 end", f"'{letter}' || v[{to}].a")
+    moves = []
+    for s in range(1, 5):
+        kept = {1: "r = 0", 2: "false", 3: "false", 4: "false"}[s]
+        to_user, to_assistant = "r = 1" if s != 3 else "false", "r = 2" if s == 3 else "false"
+        moves.append(
+            f"list_min([{option(s, 'D', '4', 'true')}, {option(onward[s - 1], 'R', '3 + 3 * kind', 'kind < 2')}, {option(2, 'K', '3 * kind', f'kind < 2 and {kept}')}, "
+            f"{option(3, 'K', '3 * kind', f'kind < 2 and {to_user}')}, {option(4, 'K', '3 * kind', f'kind < 2 and {to_assistant}')}])"
+        )
+    step = f"[{', '.join(moves)}]".replace("kind", "(x[1].c // 4)").replace(" r = ", " x[1].c % 4 = ")
+    for _ in range(3):
+        step = f"list_transform([{step}], lambda w: [" + ", ".join(f"list_min([w[{s}], {cost(f'w[{onward[s - 1]}].c + 3', f"'I' || w[{onward[s - 1]}].a")}])" for s in range(1, 5)) + "])[1]"
+    end = "[" + ", ".join(cost(c, f"'{a}'") for c, a in ((0, ""), (6, "II"), (3, "I"), (0, ""))) + "]"
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+with {CRC_STEPS},
+d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as k from conversations, steps),
+m as (select conv_id, turn, case k when 4 then 'user' else role end as role, case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+  unnest(range(case k when 3 then 2 else 1 end)) as copy from d where k <> 0),
+o as (select *, rtrim(text, {blanks}) as bare, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+  row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as again, instr('sua', left(role, 1)) as role_at from m),
+t as (select *, case when bare = '' then 2 when again > 1 then 3 when right(bare, 1) in ('.', '!', '?') then 0 else 1 end as kind, case when role = '' or role_at = 0 then 3 else role_at - 1 end as r,
+  lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair from o),
+f as (select conv_id, case when count(turn) = 0 then 0 else max(turn) - min(turn) + 1 - count(distinct turn) end as gaps, count_if(kind = 2) as blank, count_if(kind = 3) as duplicate, count_if(kind = 1) as truncated,
+  count_if(i > 1 and pair not in ('su', 'ua', 'au')) as illegal, list_reduce(list_prepend({end}, list([{cost("case when kind = 3 then 8 else kind * 4 end + r", "''")}] order by i desc)), lambda v, x: {step})[1] as best from t group by conv_id),
+l as (select conv_id, best.a as audit, unnest(range(1, length(best.a) + 1)) as j from f),
+e as (select *, audit[j] as letter, length(replace(audit[1:j], 'I', '')) as i, length(replace(audit[1:j], 'D', '')) as place from l),
+w as (select e.*, role, text, max(case when letter = 'K' and place = 1 and left(role, 1) = 's' then 1 else 0 end) over (partition by e.conv_id) as ahead
+  from e left join t on t.conv_id is not distinct from e.conv_id and t.i = e.i and letter <> 'I'),
+p as (select conv_id, string_agg(case when letter = 'K' then role when (place - ahead) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by j) as told from w where letter <> 'D' group by conv_id)
+select ids.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(told, '')) as repaired_sha256
+from (select distinct conv_id from conversations) as ids left join f on f.conv_id is not distinct from ids.conv_id left join p on p.conv_id is not distinct from ids.conv_id
+"""
+
+
 def shard_sql(shards: int = 16) -> str:
     """Law ``rows`` along the curve, crc32 by its table of steps, for tables of one sub-bucket (up to SUB_ROWS documents)."""
     bits = hilbert_shards.BITS
@@ -107,4 +160,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.quality_sql(),
     "op7_nn_descent": NEAREST_SQL,
     "op8_hilbert_shards": shard_sql(),
+    "op11_conversation_repair": repair_sql(),
 }
