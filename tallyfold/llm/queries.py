@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, hilbert_shards, language_id, mixing, ngram_join, nn_descent, packing, pii, quality_rules, token_counts, toxicity
+from . import conversation_repair, hilbert_shards, language_id, mixing, ngram_join, nn_descent, packing, periodic_runs, pii, quality_rules, token_counts, toxicity
 from .common import read_table
 
 #: The key of the registered query and pipeline, so that their results repeat. A deployment passes its own.
@@ -57,8 +57,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.conversation_report(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_token_counts, op7_nn_descent, op8_hilbert_shards, op9_pii, op10_language_id, op11_conversation_repair)
+    f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_token_counts, op7_nn_descent, op8_hilbert_shards, op9_pii, op10_language_id, op11_conversation_repair, op12_periodic_runs)
 }
 
 #: All pairs that share a shingle, by exact sets of words.
@@ -136,6 +140,26 @@ from (select distinct conv_id from conversations) as ids left join f on f.conv_i
 """
 
 
+#: Every diagonal of equal words, from the places where six words repeat; of stretches of the same extent the smallest period stays.
+RUNS_SQL = rf"""
+with {CRC_STEPS},
+h as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words, {crc_sql("coalesce(doc_id::varchar, '')")} as h from documents, steps),
+a as (select *, len(words) as n, (h // 10) % greatest(len(words), 1) as a, 3 + (h // 10) % 8 as more from h),
+d as (select row_number() over () as row, doc_id, n, case when h % 10 = 0 and n > 0 then list_concat(words[1:a], list_transform(range(a, n), lambda i: words[a + (i - a) % (1 + (n - a) // more) + 1])) else words end as words from a),
+w as (select row, i, words[i + 1:i + 6] as six from (select row, words, n, unnest(range(n - 5)) as i from d where n >= {periodic_runs.LEAST})),
+pairs as (select row, y.i as i, y.i - x.i as lag from w x join w y using (row, six) where x.i < y.i),
+islands as (select row, lag, i, i - row_number() over (partition by row, lag order by i) as island from pairs),
+s as (select row, lag, min(i) - lag as start, count(*) + 5 + lag as length from islands group by row, lag, island having count(*) + 5 + lag >= greatest({periodic_runs.LEAST}, 2 * lag)),
+r as (select row, start, length, min(lag) as period from s group by row, start, length),
+gone as (select distinct row, unnest(range(start + period, start + length)) as i from r),
+words as (select row, unnest(words) as word, unnest(range(n)) as i from d),
+kept as (select row, string_agg(word, ' ' order by i) as text from words anti join gone using (row, i) group by row),
+told as (select row, count(*) as n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, {{'l': -length, 's': start, 'p': period}}) as top, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from r group by row)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, top.s::bigint as start, top.l::bigint as length, top.p::bigint as period, (1000 * top.l // top.p)::bigint as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256 from d left join told using (row) left join kept using (row)
+"""
+
+
 def shard_sql(shards: int = 16) -> str:
     """Law ``rows`` along the curve, crc32 by its table of steps, for tables of one sub-bucket (up to SUB_ROWS documents)."""
     bits = hilbert_shards.BITS
@@ -161,4 +185,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_nn_descent": NEAREST_SQL,
     "op8_hilbert_shards": shard_sql(),
     "op11_conversation_repair": repair_sql(),
+    "op12_periodic_runs": RUNS_SQL,
 }
