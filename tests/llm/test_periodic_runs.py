@@ -37,7 +37,6 @@ def samples(seed: int, count: int) -> list[list[str]]:
         elif kind == 2:
             words = ([rng.choice("abc") for _ in range(rng.randrange(1, 40))] * n)[:n]
             for _ in range(rng.randrange(4)):
-                words[rng.randrange(max(n, 1)) : 1] = []
                 if n:
                     words[rng.randrange(n)] = "z"
         else:
