@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, hilbert_shards, language_id, mixing, ngram_join, nn_descent, packing, periodic_runs, pii, quality_rules, token_counts, toxicity
+from . import conversation_repair, hilbert_shards, language_id, mixing, ngram_join, nn_descent, packing, periodic_runs, pii, quality_classifier, quality_rules, token_counts, toxicity
 from .common import read_table
 
 #: The key of the registered query and pipeline, so that their results repeat. A deployment passes its own.
@@ -61,8 +61,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs_report(read_table(spark, sf_dir, "documents"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_token_counts, op7_nn_descent, op8_hilbert_shards, op9_pii, op10_language_id, op11_conversation_repair, op12_periodic_runs)
+    f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_token_counts, op7_nn_descent, op8_hilbert_shards, op9_pii, op10_language_id, op11_conversation_repair, op12_periodic_runs, op13_quality_classifier)
 }
 
 #: All pairs that share a shingle, by exact sets of words.
