@@ -1,8 +1,16 @@
-"""Candidate pairs of facts: blocked by rare words, scored, and capped for each fact."""
+"""Candidate pairs of facts: classes of like facts are blocked by rare words and scored, and facts are paired up to a cap.
+
+Facts of the same unit, attribute and entity are one class: their words, scores and partners are the same but for ids and documents. So words are
+joined and scored once for each pair of classes, whatever the number of their facts, and pairs of facts are only made where they are
+wanted: all of them without a cap, otherwise those that a fact may still take.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import token_set_ratio_udf
@@ -10,97 +18,123 @@ from ..functions.keys import entities_match, jaccard, tokens
 from ..tables import stored
 
 LEAST_JACCARD, LEAST_RATIO, MOST_PARTNERS, ANCHORS = 0.5, 85, 50, 2
+#: Facts of a class that lie side by side in its order and are joined together.
+BLOCK = 64
 
 
-def eligible(facts: DataFrame) -> DataFrame:
-    """Facts that can have partners, with the words of their keys."""
+def members(facts: DataFrame) -> DataFrame:
+    """(id, document_id, class) and what the class is made of, of facts that can have partners."""
     some = facts.where(F.col("value_num").isNotNull() & (F.col("attribute_key") != ""))
-    return some.select("id", "document_id", "unit", "attribute_key", tokens(F.col("attribute_key")).alias("words"), tokens(F.coalesce("entity_key", F.lit(""))).alias("names"))
+    entity = F.coalesce("entity_key", F.lit(""))
+    told = F.concat_ws("\x1f", F.coalesce("unit", F.lit("\x1e")), "attribute_key", entity)
+    return some.select("id", "document_id", F.md5(told.cast("binary")).alias("class"), "unit", "attribute_key", entity.alias("entity_key"))
 
 
-def rarest(facts: DataFrame, column: str, keep: int) -> DataFrame:
-    """(id, word, rank) of each fact's rarest words of a column; ties go to the smaller word.
+def classes(own: DataFrame) -> DataFrame:
+    """A row for each class with its words, its names and the number of its facts."""
+    each = own.groupBy("class").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("unit", "attribute_key", "entity_key")])
+    words = lambda c: F.array_distinct(tokens(F.col(c)))
+    return each.select("class", "n", "unit", "attribute_key", words("attribute_key").alias("words"), words("entity_key").alias("names"))
 
-    Frequencies are counted before they are joined, so a frequent word is one row there.
-    """
-    words = facts.select("id", F.explode(column).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "word"))
-    return words.join(counts, "word").withColumn("rank", rank).where(F.col("rank") <= keep).select("id", "word", "rank")
+
+def rarest(kinds: DataFrame, column: str, keep: int) -> DataFrame:
+    """(class, word, rank) of each class's rarest words of a column, as facts count them; ties go to the smaller word."""
+    words = kinds.select("class", "n", F.explode(column).alias("word"))
+    counts = words.groupBy("word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("n", "word"))
+    return words.drop("n").join(counts, "word").withColumn("rank", rank).where(F.col("rank") <= keep).select("class", "word", "rank")
 
 
-def postings(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(probes, posts): facts by the words they look for and by all words they are found under."""
-    some = stored(eligible(facts), "eligible")
-    anchors = rarest(some, "words", ANCHORS).select("id", F.col("word").alias("anchor"))
-    named = stored(some.join(rarest(some, "names", 1).select("id", F.col("word").alias("name")), "id", "left"), "named")
-    probes = named.join(anchors, "id").select("id", "document_id", "unit", "anchor", "name", "names")
-    return probes, named.select("id", "document_id", "unit", F.explode("words").alias("anchor"), "name", "names")
+def key_scores(keys: DataFrame) -> DataFrame:
+    """(p_attribute_key, q_attribute_key, score) of those pairs of keys that are near enough, each aligned once.
+
+    The score is 1 for equal keys, else their Jaccard similarity from 0.5 on, else a fuzzy ratio from 85 % on, which only pairs without either need.
+    """
+    p, q = F.col("p_attribute_key"), F.col("q_attribute_key")
+    each = keys.select(p, q).distinct()
+    each = stored(each.withColumn("score", F.when(p == q, 1.0).otherwise(jaccard(tokens(p), tokens(q)))), "keys")
+    fuzzy = each.where(F.col("score") < LEAST_JACCARD).withColumn("ratio", token_set_ratio_udf(p, q))
+    return each.where(F.col("score") >= LEAST_JACCARD).unionByName(fuzzy.where(F.col("ratio") >= LEAST_RATIO).select(p, q, (F.col("ratio") / 100).alias("score")))
 
 
-def directed_pairs(probes: DataFrame, posts: DataFrame) -> DataFrame:
-    """(probe, partner) where the partner has one of the probe's rarest attribute words, and names may match.
+def class_pairs(kinds: DataFrame) -> DataFrame:
+    """(p_class, q_class, score, mutual): classes whose facts find each other, the prober first; mutual if each finds the other.
 
-    Names match only if one set of words contains the other. Then the rarest word of the smaller set is in the
-    larger one, so besides attribute word and unit that word is a join key, once for each side; only facts without
-    a name are joined without it. A frequent attribute word so costs no pairs between different entities.
+    The partner has one of the prober's rarest attribute words, and names match: one set of words contains the other. Then the
+    rarest word of the smaller set is in the larger one, so besides attribute word and unit that word is a join key, once for each side; only classes
+    without a name are joined without it. A frequent attribute word so costs no pairs between different entities.
     """
+    kinds = stored(kinds, "classes")
+    anchors = rarest(kinds, "words", ANCHORS).select("class", F.col("word").alias("anchor"))
+    named = stored(kinds.join(rarest(kinds, "names", 1).select("class", F.col("word").alias("name")), "class", "left"), "named")
+    probes = named.join(anchors, "class").select("class", "unit", "anchor", "name", "names")
+    posts = named.select("class", "unit", F.explode("words").alias("anchor"), "name", "names")
     one, each = lambda d: d.where("name is not null"), lambda d: d.withColumn("name", F.explode("names"))
-    p = lambda d: d.select(F.col("id").alias("probe"), F.col("document_id").alias("probe_doc"), "unit", "anchor", "name")
-    q = lambda d: d.select(F.col("id").alias("partner"), F.col("document_id").alias("partner_doc"), "unit", "anchor", "name")
-    by_name = ["unit", "anchor", "name"]
-    nameless = lambda d: d.where("name is null")
+    p = lambda d: d.select(F.col("class").alias("p_class"), "unit", "anchor", "name")
+    q = lambda d: d.select(F.col("class").alias("q_class"), "unit", "anchor", "name")
+    by_name, nameless = ["unit", "anchor", "name"], lambda d: d.where("name is null")
     joins = [
         p(one(probes)).join(q(each(posts)), by_name),
         p(each(probes)).join(q(one(posts)), by_name),
         p(nameless(probes)).drop("name").join(q(posts).drop("name"), ["unit", "anchor"]),
         p(one(probes)).drop("name").join(q(nameless(posts)).drop("name"), ["unit", "anchor"]),
     ]
-    ids = [j.where("probe_doc != partner_doc and probe != partner").select("probe", "partner") for j in joins]
-    return ids[0].unionByName(ids[1]).unionByName(ids[2]).unionByName(ids[3]).distinct()
-
-
-def scored(facts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a_id, b_id, score, probe, partner) of directed pairs that are near enough, see ``scored_pairs``."""
-    some = eligible(facts).select("id", "attribute_key", "words", "names")
-    both = pairs.join(some.select(F.col("id").alias("probe"), *[F.col(c).alias(f"p_{c}") for c in ("attribute_key", "words", "names")]), "probe")
-    both = both.join(some.select(F.col("id").alias("partner"), *[F.col(c).alias(f"q_{c}") for c in ("attribute_key", "words", "names")]), "partner")
-    both = both.where(entities_match(F.col("p_names"), F.col("q_names")))
-    near = F.when(F.col("p_attribute_key") == F.col("q_attribute_key"), 1.0).otherwise(jaccard(F.col("p_words"), F.col("q_words")))
-    both = stored(both.select("probe", "partner", "p_attribute_key", "q_attribute_key", near.alias("score")), "scored")
-    sure = both.where(F.col("score") >= LEAST_JACCARD).select("probe", "partner", "score")
-    # Keys repeat over many facts, so each pair of keys is aligned once.
-    rest = both.where(F.col("score") < LEAST_JACCARD)
-    keys = rest.select("p_attribute_key", "q_attribute_key").distinct().withColumn("ratio", token_set_ratio_udf("p_attribute_key", "q_attribute_key"))
-    keys = keys.where(F.col("ratio") >= LEAST_RATIO)
-    fuzzy = rest.join(keys, ["p_attribute_key", "q_attribute_key"]).select("probe", "partner", (F.col("ratio") / 100).alias("score"))
-    ids = F.least("probe", "partner").alias("a_id"), F.greatest("probe", "partner").alias("b_id")
-    first = F.min(F.struct("probe", (-F.col("score")).alias("minus"), "partner")).alias("first")
-    once = sure.unionByName(fuzzy).select(*ids, "probe", "partner", "score").groupBy("a_id", "b_id").agg(first)
-    return once.select("a_id", "b_id", (-F.col("first.minus")).alias("score"), "first.probe", "first.partner")
+    ids = [j.select("p_class", "q_class") for j in joins]
+    both = ids[0].unionByName(ids[1]).unionByName(ids[2]).unionByName(ids[3]).distinct()
+    side = lambda x: kinds.select(F.col("class").alias(f"{x}_class"), F.col("attribute_key").alias(f"{x}_attribute_key"), F.col("names").alias(f"{x}_names"))
+    both = both.join(side("p"), "p_class").join(side("q"), "q_class").where(entities_match(F.col("p_names"), F.col("q_names"))).drop("p_names", "q_names")
+    both = stored(both, "class-pairs")
+    near = both.join(key_scores(both), ["p_attribute_key", "q_attribute_key"]).select("p_class", "q_class", "score")
+    back = near.select(F.col("p_class").alias("q_class"), F.col("q_class").alias("p_class"), F.lit(True).alias("back"))
+    return near.join(back, ["p_class", "q_class"], "left").select("p_class", "q_class", "score", F.coalesce("back", F.lit(False)).alias("mutual"))
+
+
+def _side(own: DataFrame, x: str, id_column: str) -> DataFrame:
+    return own.select(F.col("id").alias(id_column), F.col("document_id").alias(f"{x}_doc"), F.col("class").alias(f"{x}_class"))
+
+
+def made_pairs(own: DataFrame, between: DataFrame, probes: DataFrame | None = None, partners: DataFrame | None = None) -> DataFrame:
+    """(a_id, b_id, score, probe, partner): the pairs of facts of paired classes, from different documents, and where each first comes up.
+
+    probes, partners: facts (id) that these must be among.
+    """
+    p, q = _side(own, "p", "probe"), _side(own, "q", "partner")
+    p = p if probes is None else p.join(probes.select(F.col("id").alias("probe")), "probe", "left_semi")
+    q = q if partners is None else q.join(partners.select(F.col("id").alias("partner")), "partner", "left_semi")
+    both = p.join(between, "p_class").join(q, "q_class").where("p_doc != q_doc and probe != partner and (not mutual or probe < partner)")
+    return both.select(F.least("probe", "partner").alias("a_id"), F.greatest("probe", "partner").alias("b_id"), "score", "probe", "partner")
 
 
 def scored_pairs(facts: DataFrame) -> DataFrame:
-    """(a_id, b_id, score, probe, partner): candidate pairs, a_id below b_id, and where each first comes up.
+    """(a_id, b_id, score, probe, partner): all candidate pairs, a_id below b_id, and where each first comes up.
 
-    The score is 1 for equal attribute keys, else their Jaccard similarity from 0.5 on, else a fuzzy ratio from
-    85 % on, which only pairs without either need. Facts come in order of their ids, and a fact's
-    partners by falling score and rising id.
+    Facts come in order of their ids, and a fact's partners by falling score and rising id, see ``key_scores``.
     """
-    return scored(facts, directed_pairs(*postings(facts)))
+    own = stored(members(facts), "members")
+    return made_pairs(own, class_pairs(classes(own)))
+
+
+def near_enough(pairs: DataFrame) -> DataFrame:
+    """The same rows from directed pairs of facts (p_id, q_id, p_attribute_key, q_attribute_key) whose names match."""
+    both = stored(pairs.select("p_id", "q_id", "p_attribute_key", "q_attribute_key"), "directed")
+    rows = both.join(key_scores(both), ["p_attribute_key", "q_attribute_key"])
+    first = F.min(F.struct(F.col("p_id").alias("probe"), (-F.col("score")).alias("minus"), F.col("q_id").alias("partner"))).alias("first")
+    once = rows.groupBy(F.least("p_id", "q_id").alias("a_id"), F.greatest("p_id", "q_id").alias("b_id")).agg(first)
+    return once.select("a_id", "b_id", (-F.col("first.minus")).alias("score"), "first.probe", "first.partner")
 
 
 def candidates_of(facts: DataFrame, new: DataFrame, most: int | None = MOST_PARTNERS) -> DataFrame:
     """The rows of ``build_candidates(facts, most)`` with a fact of ``new`` (id), without making all pairs of the others.
 
-    A fact of at most ``most`` pairs never stands in a pair's way. So the pairs of new facts and of their partners are
-    made, and from there on only those of partners of facts above the cap, until there are no more. Without a cap the first step is all. Words are counted over all facts.
+    A fact of at most ``most`` pairs never stands in a pair's way. So the pairs of new facts and of their partners are made, and from
+    there on only those of partners of facts above the cap, until there are no more. Without a cap the first step is all. All facts are read; ``postings.candidates``
+    gives the same from a stored index.
     """
-    probes, posts = (stored(d, "postings") for d in postings(facts))
+    own = stored(members(facts), "members")
+    between = stored(class_pairs(classes(own)), "between")
     fresh, known, pairs = stored(new.select("id").distinct(), "fresh"), None, None
     while True:
-        own = probes.join(fresh, "id", "left_semi"), posts.join(fresh, "id", "left_semi")
-        made = scored(facts, directed_pairs(own[0], posts).unionByName(directed_pairs(probes, own[1])).distinct())
+        made = made_pairs(own, between, probes=fresh).unionByName(made_pairs(own, between, partners=fresh)).distinct()
         if most is None:
             return made.select("a_id", "b_id", "score")
         first = pairs is None
@@ -119,11 +153,11 @@ def candidates_of(facts: DataFrame, new: DataFrame, most: int | None = MOST_PART
 
 
 def capped_pairs(pairs: DataFrame, most: int = MOST_PARTNERS) -> DataFrame:
-    """Pairs that a greedy pass in order keeps, when a fact may have ``most`` partners.
+    """Pairs that a greedy pass in order keeps, when a fact may have ``most`` partners, out of pairs that are all made.
 
     The pass is exact and has no single task: in each round a pair is kept if, for both facts, fewer than ``most`` pairs
     before it are kept or open, and dropped if ``most`` before it are kept. The first open pair is always
-    decided, and in practice nearly all are in a few rounds.
+    decided, and where the cap binds seldom nearly all are in a few rounds.
     """
     order = F.struct("probe", (-F.col("score")).alias("minus"), "partner").alias("place")
     open_pairs = pairs.select("a_id", "b_id", "score", order, F.lit(False).alias("kept"))
@@ -139,7 +173,110 @@ def capped_pairs(pairs: DataFrame, most: int = MOST_PARTNERS) -> DataFrame:
             return open_pairs.select("a_id", "b_id", "score")
 
 
+def families(between: DataFrame) -> DataFrame:
+    """(class, family): the least class that each class is connected with; connections are few steps long, as names contain each other."""
+    edges = stored(between.select(F.col("p_class").alias("class"), F.col("q_class").alias("other")).unionByName(between.select(F.col("q_class").alias("class"), F.col("p_class").alias("other"))).distinct(), "edges")
+    label = stored(edges.groupBy("class").agg(F.least(F.min("other"), F.col("class")).alias("family")), "families")
+    while True:
+        near = edges.join(label.select(F.col("class").alias("other"), "family"), "other").groupBy("class").agg(F.min("family").alias("near"))
+        moved = stored(label.join(near, "class").select("class", F.least("family", "near").alias("family"), (F.col("near") < F.col("family")).alias("moved")), "families")
+        if moved.where("moved").limit(1).count() == 0:
+            return moved.select("class", "family")
+        label = moved.select("class", "family")
+
+
+def next_partners(own: DataFrame, between: DataFrame, most: int, width: int, taken: DataFrame | None) -> DataFrame:
+    """(family, p, minus, q, p_had, q_had): for each open fact the first partners in its order that are not full, as many as it may still take and some to spare.
+
+    own: members with family, had and open (whether the fact still looks for partners itself). Each class's facts that are not full lie in
+    order of their ids. A fact looks at the next ``width`` of each partner class, from its own place on where classes are mutual, and keeps ``width``, less
+    what it has, of all that it meets, in blocks of BLOCK. Behind the last one that it met in a class its order is not known; what lies there is left out. A row without q says
+    that its list goes on.
+    """
+    some = stored(own.where(F.col("had") < most), "not-full")
+    p = some.where("open").select(F.col("id").alias("p"), F.col("document_id").alias("p_doc"), F.col("class").alias("p_class"), "family", F.col("had").alias("p_had"))
+    asks = p.join(between, "p_class").select(F.col("q_class").alias("class"), F.col("p").alias("id"), F.lit(1).alias("k"), "p_doc", "family", "p_had", "score", "mutual")
+    has = some.select("class", "id", F.lit(0).alias("k"), F.col("document_id").alias("p_doc"), "family", F.col("had").alias("p_had"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("mutual"))
+    seen = F.sum(1 - F.col("k")).over(Window.partitionBy("class").orderBy("id", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    events = stored(has.unionByName(asks).withColumn("seen", seen), "events")
+    ranked = events.where("k = 0").select("class", F.col("id").alias("q"), F.col("p_doc").alias("q_doc"), F.col("p_had").alias("q_had"), (F.col("seen") - 1).alias("rank"))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK))
+    sizes = ranked.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
+    start = F.when(F.col("mutual"), F.col("seen")).otherwise(0)
+    asked = events.where("k = 1").join(sizes, "class").select("class", F.col("id").alias("p"), "p_doc", "family", "p_had", "score", start.alias("start"), F.least(start + width, "size").alias("stop"), (start + width < F.col("size")).alias("on"))
+    asked = asked.where("start < stop").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("stop") - 1) / BLOCK))))
+    met = asked.join(ranked, ["class", "block"]).where("rank >= start and rank < stop")
+    if taken is not None:
+        met = met.join(taken.select("p", "q"), ["p", "q"], "left_anti")
+    met = met.select("family", "p", "p_had", (-F.col("score")).alias("minus"), "q", "q_had", F.expr("p_doc != q_doc and p != q").alias("fit"), F.when(F.expr("on and rank = stop - 1"), F.struct((-F.col("score")).alias("minus"), "q")).alias("edge"))
+    by_fact = Window.partitionBy("p")
+    met = met.withColumn("edge", F.min("edge").over(by_fact))
+    met = met.withColumn("fit", F.col("fit") & (F.col("edge").isNull() | (F.struct("minus", "q") <= F.col("edge"))))
+    place = F.row_number().over(by_fact.orderBy(~F.col("fit"), "minus", "q"))
+    met = met.withColumns({"place": place, "fits": F.sum(F.col("fit").cast("int")).over(by_fact)})
+    room = F.lit(width) - F.col("p_had")
+    pair = F.when(F.col("fit") & (F.col("place") <= room), F.struct("minus", "q", "q_had"))
+    goes_on = F.when((F.col("place") == 1) & (F.col("edge").isNotNull() | (F.col("fits") > room)), F.struct(F.lit(1.0).alias("minus"), F.lit(None).cast("long").alias("q"), F.lit(0).cast("long").alias("q_had")))
+    row = F.explode(F.filter(F.array(pair, goes_on), lambda x: x.isNotNull()))
+    return met.select("family", "p", "p_had", row.alias("r")).select("family", "p", "p_had", "r.minus", "r.q", "r.q_had")
+
+
+def greedy(rows: DataFrame, most: int) -> DataFrame:
+    """(family, p, q, score): what a pass in order over ``next_partners`` takes, and without q the fact of a family at which the pass stops.
+
+    It stops where a fact's list goes on but has not filled it, as what follows depends on the rest. The greedy pass is one order over a family's pairs, and
+    no way is known to take it apart; so a family streams through one task, which holds a count for each fact.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, counts, stopped = None, {}, False
+        for b in batches:
+            out: list[tuple] = []
+            for f, p, p_had, minus, q, q_had in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+                if f != family:
+                    family, counts, stopped = f, {}, False
+                if stopped:
+                    continue
+                n = counts.get(p, p_had)
+                if q is None:
+                    if n < most:
+                        stopped = True
+                        out.append((f, p, None, None))
+                    continue
+                m = counts.get(q, q_had)
+                if n < most and m < most:
+                    counts[p], counts[q] = n + 1, m + 1
+                    out.append((f, p, q, -minus))
+            if out:
+                c = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.float64())], names=["family", "p", "q", "score"])
+
+    placed = rows.select("family", "p", "p_had", "minus", "q", "q_had").repartition("family").sortWithinPartitions("family", "p", "minus", "q")
+    return placed.mapInArrow(run, "family string, p long, q long, score double")
+
+
 def build_candidates(facts: DataFrame, most: int | None = MOST_PARTNERS) -> DataFrame:
-    """Candidate pairs with their scores; ``most`` of None sets no cap."""
-    pairs = scored_pairs(facts)
-    return pairs.select("a_id", "b_id", "score") if most is None else capped_pairs(pairs, most)
+    """(a_id, b_id, score) of candidate pairs; ``most`` of None sets no cap.
+
+    With a cap the pairs are those of a greedy pass in order, in which a fact may have ``most`` partners. A fact can only take a partner that is
+    not full, and no more than it has room for, in its order. So of its list the pass needs the first few that are not full when a round begins: if
+    it is not filled by them they were filled meanwhile, and then all before it is decided and the next round goes on from there, looking farther. The first
+    round, which mostly is the last, makes ``most`` + BLOCK pairs for each fact at most, however many facts an entity has.
+    """
+    if most is None:
+        return scored_pairs(facts).select("a_id", "b_id", "score")
+    own = stored(members(facts), "members")
+    between = stored(class_pairs(classes(own)), "between")
+    own = stored(own.select("id", "document_id", "class").join(families(between), "class").withColumns({"had": F.lit(0).cast("long"), "open": F.lit(True)}), "members")
+    taken, width = None, most + BLOCK
+    while True:
+        made = stored(greedy(next_partners(own, between, most, width, taken), most), "taken")
+        fresh = made.where("q is not null").select("p", "q", "score")
+        taken = fresh if taken is None else stored(taken.unionByName(fresh), "taken")
+        stops = stored(made.where("q is null").select("family", F.col("p").alias("_stop")), "stops")
+        if stops.limit(1).count() == 0:
+            return taken.select(F.least("p", "q").alias("a_id"), F.greatest("p", "q").alias("b_id"), "score")
+        had = taken.select(F.explode(F.array("p", "q")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("had"))
+        rest = own.drop("had", "open").join(stops, "family").join(had, "id", "left")
+        own = stored(rest.select("id", "document_id", "class", "family", F.coalesce("had", F.lit(0)).cast("long").alias("had"), (F.col("id") >= F.col("_stop")).alias("open")), "members")
+        width += width

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DIMENSIONS, VIEW
+from ..tables import stored
 from .block import MOST_PARTNERS, build_candidates, candidates_of
 from .classify import as_pairs, classify_pairs
+from .postings import Index, candidates, groups
 from .tieout import arithmetic_edges, derived_relations
 
 PAIR = ["fact_a_id", "fact_b_id"]
@@ -40,6 +42,14 @@ def rule_pass(views: DataFrame, unpaired: DataFrame, existing: DataFrame, most:
     return ruled.unionByName(derived)
 
 
+def indexed_rule_pass(index: Index, new: DataFrame, live: DataFrame, most: int | None = MOST_PARTNERS) -> DataFrame:
+    """The relations of ``rule_pass`` for new facts (VIEW) that an index holds already, from the facts of their entities and groups alone."""
+    pairs, facts = candidates(index, new, live, most)
+    ruled = classify_pairs(as_pairs(pairs.select("a_id", "b_id"), facts)).withColumn("explanation", F.col("hypothesis"))
+    derived = derived_relations(arithmetic_edges(stored(groups(index, new, live), "groups"), new))
+    return ruled.unionByName(derived.join(ruled.select(*PAIR), PAIR, "left_anti"))
+
+
 def adjudicate(relations: DataFrame, judgements: DataFrame, facts: DataFrame) -> DataFrame:
     """Open relations settled by recorded judgements; all columns of ``relations`` and attempts.
 

@@ -90,20 +90,37 @@ def candidate_pairs_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a_id", "b_id", F.round("score", 6).alias("score"))
 
 
-# The greedy pass in order, as a fold over each entity's pairs; no pair joins two entities.
-@register(f"""with {_PAIRS},
-w as (select id, unnest(words) as word from v), c as (select word, count(*) as n from w group by word),
-anchors as (select id, list(word order by n, word)[1:2] as rare from w join c using (word) group by id),
-placed as (select a_id, b_id, score, a.who, case when len(list_intersect(rare, b.words)) > 0 then a_id else b_id end as probe
-  from pairs join anchors on anchors.id = a_id join v a on a.id = a_id join v b on b.id = b_id),
-passes as (select who, list_reduce(list_prepend([]::bigint[], list([a_id, b_id] order by probe, score desc, a_id + b_id - probe)), lambda kept, p:
-    case when greatest(len(list_filter(kept, lambda x: x = p[1])), len(list_filter(kept, lambda x: x = p[2]))) < 3 then list_concat(kept, p) else kept end) as kept from placed group by who),
-sides as (select kept, unnest(range(1, len(kept), 2)) as i from passes)
-select a_id, b_id, score from sides join pairs on a_id = kept[i] and b_id = kept[i + 1]""")
+def _capped_sql(facts: str, most: int, who: str = "substr(entity_key, 1, 9)", tag: str = "") -> str:
+    """CTEs of the candidate pairs kept by a greedy pass in order, as a fold over each entity's pairs; no pair joins two entities."""
+    t = tag
+    return f"""
+v{t} as (select *, {who} as who, string_split(attribute_key, ' ') as words from {facts}),
+w{t} as (select id, unnest(words) as word from v{t}), c{t} as (select word, count(*) as n from w{t} group by word),
+anchors{t} as (select id, list(word order by n, word)[1:2] as rare from w{t} join c{t} using (word) group by id),
+p{t} as (select a.id as a_id, b.id as b_id, a.who, case when a.attribute_key = b.attribute_key then 1.0 else len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) end as score, b.words as b_words
+      from v{t} a join v{t} b on a.who = b.who and a.unit = b.unit and a.document_id <> b.document_id and a.id < b.id),
+placed{t} as (select a_id, b_id, score, who, case when len(list_intersect(rare, b_words)) > 0 then a_id else b_id end as probe from p{t} join anchors{t} on anchors{t}.id = a_id where score >= 0.5),
+passes{t} as (select who, list_reduce(list_prepend([]::bigint[], list([a_id, b_id] order by probe, score desc, a_id + b_id - probe)), lambda kept, p:
+    case when greatest(len(list_filter(kept, lambda x: x = p[1])), len(list_filter(kept, lambda x: x = p[2]))) < {most} then list_concat(kept, p) else kept end) as kept from placed{t} group by who),
+sides{t} as (select kept, unnest(range(1, len(kept), 2)) as i from passes{t}),
+capped{t} as (select a_id, b_id, score from sides{t} join placed{t} on a_id = kept[i] and b_id = kept[i + 1])"""
+
+
+@register(f"with {_F}, o as (select * from f where not is_duplicate), {_capped_sql('o', 3)} select * from capped")
 def candidate_pairs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block.build_candidates(_order_facts(spark, sf_dir).where("not is_duplicate"), most=3)
 
 
+_BALANCES = """select c_custkey as id, cast(c_custkey as varchar(12)) as document_id, 'nation ' || lpad(cast(c_nationkey as varchar(12)), 2, '0') as entity_key, 'USD' as unit, c_acctbal as value_num,
+       case when c_mktsegment < 'C' then 'account balance total' when c_mktsegment < 'H' then 'account balance open' else 'account balance' end as attribute_key from customer"""
+
+
+@register(f"with o as ({_BALANCES}), {_capped_sql('o', 50, 'entity_key')} select * from capped")
+def candidate_pairs_default_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances of a nation's customers, each in a document of its own: more partners than a fact may have."""
+    return block.build_candidates(load(spark, sf_dir, _BALANCES))
+
+
 _WORDS = "string_split(lower(regexp_replace(p_name, '[^a-zA-Z0-9]+', ' ', 'g')), ' ')"
 
 
@@ -642,3 +659,18 @@ def stream_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(all_views.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     link_stream(stream, f"{folder}/out", f"{folder}/checkpoint", most=None).awaitTermination()
     return spark.read.parquet(f"{folder}/out/relations").where("method = 'rule'").select("fact_a_id", "fact_b_id", "verdict")
+
+
+@register(f"""with {_F}, o as (select * from f where not is_duplicate), early as (select * from o where document_id < '4'), {_capped_sql('early', 3, tag='1')}, {_capped_sql('o', 3, tag='2')}
+select a_id as fact_a_id, b_id as fact_b_id from capped1 union all select a_id, b_id from capped2 where a_id not in (select id from early) or b_id not in (select id from early)""")
+def incremental_link_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches linked through the stored index, a fact having three partners at most: what a pass over all gives each batch's facts."""
+    import uuid
+
+    from ..streaming.incremental import link_batch
+
+    folder = f"{shared_dir(spark)}/linked-{uuid.uuid4().hex}"
+    all_views = stored(_order_facts(spark, sf_dir).where("not is_duplicate").select(*VIEW), "views")
+    for i, part in enumerate(("document_id < '4'", "document_id >= '4'")):
+        link_batch(spark, all_views.where(part), folder, i, most=3)
+    return spark.read.parquet(f"{folder}/relations").where("method = 'rule'").select("fact_a_id", "fact_b_id")

@@ -5,34 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import postings
 from ..operators.block import MOST_PARTNERS
-from ..operators.link import PAIR, rule_pass
-from ..schemas import RELATIONS
+from ..operators.link import indexed_rule_pass
+from ..schemas import VIEW
+from ..tables import stored
 
 
-def link_batch(spark: SparkSession, batch: DataFrame, folder: str, batch_id: int, most: int | None = MOST_PARTNERS) -> None:
-    """Adds a batch of fact views to ``folder``/facts and its new relations to ``folder``/relations.
+def link_batch(spark: SparkSession, batch: DataFrame, folder: str, batch_id: int, most: int | None = MOST_PARTNERS, bucket: int = postings.BUCKET) -> None:
+    """Adds a batch of fact views to ``folder``/facts and ``folder``/index, and its new relations to ``folder``/relations.
 
-    Each batch has its own folder and is written whole, so a batch that is run again replaces what it wrote. Facts that are
-    there already are not paired again.
+    Each batch has its own folders and is written whole, so a batch that is run again replaces what it wrote. Facts that are
+    there already are not paired again. Of the history only the index's buckets of the new facts' words and groups are read.
     """
-    facts_at, relations_at = f"{folder}/facts", f"{folder}/relations"
-    before = _read(spark, facts_at, batch.schema.simpleString()[7:-1], batch_id)
-    known = _read(spark, relations_at, RELATIONS, batch_id)
-    fresh = batch.dropDuplicates(["id"]).join(before.select("id"), "id", "left_anti")
-    fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{facts_at}/batch={batch_id}")
-    fresh = spark.read.schema(batch.schema).parquet(f"{facts_at}/batch={batch_id}")
-    made = rule_pass(before.unionByName(fresh), fresh, known.select(*PAIR), most)
-    made.write.mode("overwrite").parquet(f"{relations_at}/batch={batch_id}")
-
-
-def _read(spark: SparkSession, path: str, schema: str, below: int) -> DataFrame:
-    """What earlier batches wrote."""
-    empty = spark.createDataFrame([], schema)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        return empty
-    return spark.read.schema(f"{schema}, batch bigint").parquet(path).where(f"batch < {below}").drop("batch")
+    index = postings.Index(spark, f"{folder}/index", bucket)
+    fresh = postings.unknown(index, batch.select(*VIEW).dropDuplicates(["id"]), stored(postings.manifest(index, 2 * batch_id), "live"))
+    fresh.write.mode("overwrite").parquet(f"{folder}/facts/batch={batch_id}")
+    fresh = spark.read.schema(postings.FACT).parquet(f"{folder}/facts/batch={batch_id}")
+    live = postings.append(index, fresh, batch_id)
+    made = indexed_rule_pass(index, fresh, live, most)
+    made.write.mode("overwrite").parquet(f"{folder}/relations/batch={batch_id}")
 
 
 def link_stream(facts: DataFrame, folder: str, checkpoint: str, most: int | None = MOST_PARTNERS) -> StreamingQuery:
