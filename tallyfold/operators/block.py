@@ -155,26 +155,18 @@ def candidates_of(facts: DataFrame, new: DataFrame, most: int | None = MOST_PART
 def capped_pairs(pairs: DataFrame, most: int = MOST_PARTNERS) -> DataFrame:
     """Pairs that a greedy pass in order keeps, when a fact may have ``most`` partners, out of pairs that are all made.
 
-    The pass is exact and has no single task: in each round a pair is kept if, for both facts, fewer than ``most`` pairs
-    before it are kept or open, and dropped if ``most`` before it are kept. The first open pair is always
-    decided, and where the cap binds seldom nearly all are in a few rounds.
+    No pair joins two families of facts, so each has a pass of its own, see ``greedy``.
     """
-    order = F.struct("probe", (-F.col("score")).alias("minus"), "partner").alias("place")
-    open_pairs = pairs.select("a_id", "b_id", "score", order, F.lit(False).alias("kept"))
-    while True:
-        sides = F.explode(F.array("a_id", "b_id")).alias("fact")
-        before = Window.partitionBy("fact").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        seen = open_pairs.select("a_id", "b_id", "score", "place", "kept", sides)
-        seen = seen.select("*", F.coalesce(F.sum(F.col("kept").cast("int")).over(before), F.lit(0)).alias("had"), F.count(F.lit(1)).over(before).alias("may"))
-        state = seen.groupBy("a_id", "b_id", "score", "place", "kept").agg(F.max("had").alias("had"), F.max("may").alias("may"))
-        keep = F.col("kept") | (F.col("may") < most)
-        open_pairs = stored(state.where(F.col("kept") | (F.col("had") < most)).select("a_id", "b_id", "score", "place", keep.alias("kept")), "capped")
-        if open_pairs.where("not kept").limit(1).count() == 0:
-            return open_pairs.select("a_id", "b_id", "score")
+    some = stored(pairs.select("probe", "partner", "score"), "made")
+    whole = families(some.select(F.col("probe").alias("p_class"), F.col("partner").alias("q_class")))
+    rows = some.join(whole.select(F.col("class").alias("probe"), F.col("family").cast("string").alias("family")), "probe")
+    none = F.lit(0).cast("long")
+    kept = greedy(rows.select("family", F.col("probe").alias("p"), none.alias("p_had"), (-F.col("score")).alias("minus"), F.col("partner").alias("q"), none.alias("q_had")), most)
+    return kept.select(F.least("p", "q").alias("a_id"), F.greatest("p", "q").alias("b_id"), "score")
 
 
 def families(between: DataFrame) -> DataFrame:
-    """(class, family): the least class that each class is connected with; connections are few steps long, as names contain each other."""
+    """(class, family): the least class, or fact, that each is connected with; connections are few steps long, as names contain each other."""
     edges = stored(between.select(F.col("p_class").alias("class"), F.col("q_class").alias("other")).unionByName(between.select(F.col("q_class").alias("class"), F.col("p_class").alias("other"))).distinct(), "edges")
     label = stored(edges.groupBy("class").agg(F.least(F.min("other"), F.col("class")).alias("family")), "families")
     while True:

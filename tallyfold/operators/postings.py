@@ -3,7 +3,7 @@
 The index is a set of runs, one for each batch until several are merged. A run has rows of these kinds, each under a key:
 
 * ``each``: a named fact under every word of its entity's name; found by the rarest word of a new fact's name
-* ``chosen``: a named fact under one word of its name; found by all words of a new fact's name
+* ``chosen``: a named fact under the word of its name that was the rarest then; found by all words of a new fact's name
 * ``bare``: a fact without a name under unit and attribute word; found by all new facts
 * ``word``: a named fact under unit and attribute word; found by new facts without a name
 * ``group``: a fact that adds up under entity, period and unit, for tie-outs
@@ -93,17 +93,20 @@ def _adds_up() -> Column:
     return F.col("unit").isin(*ADDITIVE) & (F.col("value_num") > 0)
 
 
-def _entries(facts: DataFrame) -> DataFrame:
-    """All rows of a run, with their kinds. Of a name the least word by a hash is chosen, as any word of it will do."""
-    some = _words(facts)
+def _entries(index: Index, facts: DataFrame, live: DataFrame) -> DataFrame:
+    """All rows of a run, with their kinds. Of a name the rarest word so far is chosen; any word of it would do, but one that few names have is found by few."""
+    some = stored(_words(facts), "words")
     pairable, named = some.where(_pairable()), F.size("names") > 0
-    chosen = F.array_min(F.transform("names", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))).getField("w")
+    names = stored(pairable.select("id", F.explode("names").alias("w")), "names")
+    before = counts(index, names.select(F.concat(F.lit("n:"), "w").alias("key")).distinct(), live).select(F.substring("key", 3, 1 << 20).alias("w"), "n")
+    n = names.groupBy("w").agg(F.count(F.lit(1)).alias("n")).unionByName(before).groupBy("w").agg(F.sum("n").alias("n"))
+    rarest = names.join(n, "w").groupBy("id").agg(F.min(F.struct("n", "w")).alias("m")).select("id", F.col("m.w").alias("_w"))
     own = lambda rows, kind, key: rows.select(F.lit(kind).alias("kind"), key.alias("key"), F.lit(None).cast("long").alias("n"), *VIEW)
     each = pairable.where(named).withColumn("_w", F.explode("names"))
     by_word = pairable.withColumn("_w", F.explode("words"))
     counted = lambda c, mark: pairable.select(F.explode(c).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(F.lit("count").alias("kind"), F.concat(F.lit(mark), "w").alias("key"), "n", *[F.lit(None).cast(facts.schema[v].dataType).alias(v) for v in VIEW])
     parts = [
-        own(each, "each", F.col("_w")), own(pairable.where(named), "chosen", chosen), own(by_word.where(~named), "bare", _key("unit", "_w")), own(by_word.where(named), "word", _key("unit", "_w")),
+        own(each, "each", F.col("_w")), own(pairable.where(named).join(rarest, "id"), "chosen", F.col("_w")), own(by_word.where(~named), "bare", _key("unit", "_w")), own(by_word.where(named), "word", _key("unit", "_w")),
         own(some.where(_adds_up()), "group", _group_key()),
         some.select(F.lit("id").alias("kind"), F.col("id").cast("string").alias("key"), F.lit(None).cast("long").alias("n"), *[F.col(v) if v == "id" else F.lit(None).cast(facts.schema[v].dataType).alias(v) for v in VIEW]),
         counted("words", "a:"), counted("names", "n:"),
@@ -139,7 +142,7 @@ def append(index: Index, facts: DataFrame, batch: int) -> DataFrame:
         raise ValueError("batches are numbered from 0")
     live = stored(manifest(index, 2 * batch), "live")
     live = _merged(index, live, batch)
-    _publish(index, live.unionByName(_write_run(index, _entries(facts), f"b{batch}")), 2 * batch + 1)
+    _publish(index, live.unionByName(_write_run(index, _entries(index, facts, live), f"b{batch}")), 2 * batch + 1)
     return stored(manifest(index, 2 * batch + 2), "live")
 
 
