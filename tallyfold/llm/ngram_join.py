@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import free_names, write_table
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -440,12 +440,13 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """
     rows = write_table(joined(docs, threshold), "ngram-joined")
     own = F.struct("doc_id", "text_hash")
-    dropped = rows.where(F.col("group") != own).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    kept_id, text_hash, gone_id, gone_hash = free_names(docs, "_ng_id", "_ng_hash", "_ng_gone", "_ng_gone_hash")
+    dropped = rows.where(F.col("group") != own).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
     dropped = write_table(dropped, "ngram-dropped")
-    left = docs.withColumn("_ng_hash", F.xxhash64("text"))
-    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_ng_hash") == F.col("_hash"))
+    left = docs.withColumns({kept_id: F.col("doc_id").cast("bigint"), text_hash: F.xxhash64("text")})
+    on = F.col(kept_id).eqNullSafe(F.col(gone_id)) & (F.col(text_hash) == F.col(gone_hash))
     left = left.join(F.broadcast(dropped) if dropped.count() <= FEW else dropped, on, "left_anti")
     repeated = rows.where("n_links > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
     if repeated:
-        left = left.dropDuplicates(["doc_id", "_ng_hash"])
+        left = left.dropDuplicates(["doc_id", text_hash])
     return left.select(*docs.columns)

@@ -60,7 +60,7 @@ def test_odd_rows_and_clashing_columns_go_through(spark, tmp_path):
     """Nulls, repeated rows, and columns named as the stages' own; then an empty table."""
     words = "plain words of a text that is long enough to be read"
     rows = [(None, words, None, None, None), (1, None, "en", "s", 1), (2, "", "en", "s", 0), (3, words, "en", "s", 1), (3, words, "en", "s", 1), (4, "12 34", None, "s", 1), (5, f"{words} and then some more of them", "en", None, 1)]
-    odd = spark.createDataFrame(rows, DOCS).selectExpr("*", "'clash' as piece", "'clash' as length", "1 as class", "'x' as rate", "'x' as score", "'x' as tokens", "'x' as key", "'x' as topic")
+    odd = spark.createDataFrame(rows, DOCS).selectExpr("*", "'clash' as piece", "'clash' as length", "1 as class", "'x' as rate", "'x' as score", "'x' as tokens", "'x' as key", "'x' as topic", "7 as _id", "8 as _hash", "9 as _ng_hash", "10 as _NG_ID", "'x' as _salt", "11 as _ng_gone")
     for name, df in (("odd", odd), ("empty", odd.limit(0))):
         df.write.parquet(str(tmp_path / name / "documents.parquet"))
         docs = read_table(spark, str(tmp_path / name), "documents")
