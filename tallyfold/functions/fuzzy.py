@@ -6,6 +6,7 @@ integer, with a bit for each character of the shorter string.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,11 +50,46 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, ratio(base, with_a), ratio(base, with_b)) if shared else best
 
 
+#: Characters of a seed, and how many windows are aligned by the promise of their seeds before all others are looked at.
+SEED, FIRST = 3, 96
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def promising_windows(a: str, b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Beginnings, ends and largest possible ratios of windows of ``b``, and their order by these.
+
+    Each character that a window and ``a`` do not share destroys SEED seeds of ``a`` at most. So a window that holds c of its seeds
+    differs in (seeds of a - c) / SEED characters at least. It also shares no more characters than it has of those in ``a``. Windows that neither begin nor
+    end with a character of ``a`` are left out, as shorter ones are as good.
+    """
+    x, y, n = _codes(a), _codes(b), len(a)
+    seeds = lambda t: sum(t[i : len(t) - SEED + 1 + i] * (1 << 21 * (SEED - 1 - i)) for i in range(SEED))
+    end = np.arange(1, len(b) + n)
+    lo, hi = np.maximum(0, end - n), np.minimum(end, len(b))
+    own = np.isin(y, x)
+    shared = np.concatenate([[0], np.cumsum(own)])
+    most = shared[hi] - shared[lo]
+    size = n + hi - lo
+    if n >= SEED:
+        found = np.concatenate([[0], np.cumsum(np.isin(seeds(y), seeds(x)))])
+        first = np.minimum(lo, len(found) - 1)
+        held = found[np.maximum(hi - SEED + 1, first)] - found[first]
+        lost = np.maximum(0, -(-(n - SEED + 1 - held) // SEED))
+        most = np.minimum(most, (size - lost) // 2)
+    on = np.flatnonzero(own[hi - 1] | own[lo])
+    bound = 200.0 * most[on] / size[on]
+    return lo[on], hi[on], bound, np.argsort(-bound, kind="stable")
+
+
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter string with a window of the longer one, windows at its ends cut short.
 
-    A window's score is at most twice the characters that it shares, in any order, over the lengths; that count moves
-    along with the window, so only windows that may beat the best so far are aligned.
+    Windows are aligned in the order of what their seeds promise, until the next one cannot beat the best. A string that stands there but for some
+    characters is so found and settled in a few windows. If FIRST of them settle nothing, the string is hardly there, and the windows
+    are gone through in place.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -61,11 +97,28 @@ def partial_ratio(a: str, b: str) -> float:
         return 0.0 if b else 100.0
     if a in b:
         return 100.0
-    n, where = len(a), _positions(a)
+    where, best = _positions(a), 0.0
+    lo, hi, bound, order = promising_windows(a, b)
+    for i in order[:FIRST].tolist():
+        if bound[i] <= best:
+            return best
+        best = max(best, 200.0 * common_length(a, b[lo[i] : hi[i]], where) / (len(a) + int(hi[i] - lo[i])))
+    if len(order) <= FIRST or bound[order[FIRST]] <= best:
+        return best
+    return _all_windows(a, b, where, best)
+
+
+def _all_windows(a: str, b: str, where: dict[str, int], best: float) -> float:
+    """The best ratio of all windows in order, if it is above ``best``.
+
+    A window's score is at most twice the characters that it shares, in any order, over the lengths; that count moves
+    along with the window, so only windows that may beat the best so far are aligned.
+    """
+    n = len(a)
     wanted: dict[str, int] = {}
     for c in a:
         wanted[c] = wanted.get(c, 0) + 1
-    spare, shared, best = dict(wanted), 0, 0.0
+    spare, shared = dict(wanted), 0
     for end in range(1, len(b) + n):
         if end <= len(b):
             c = b[end - 1]
@@ -92,7 +145,12 @@ def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def partial_score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """``partial_ratio`` as a share."""
-    return pd.Series([None if x is None or y is None else partial_ratio(x, y) / 100 for x, y in zip(a, b, strict=True)], dtype="float64")
+#: From this share on a quote counts as found.
+CLOSE = 0.85
+
+
+@F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("close", T.BooleanType())]))
+def partial_score_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """``partial_ratio`` as a share, rounded to four places as a double rounds, and whether the share itself is CLOSE."""
+    shares = [None if x is None or y is None else partial_ratio(x, y) / 100 for x, y in zip(a, b, strict=True)]
+    return pd.DataFrame({"score": pd.Series([None if s is None else round(s, 4) for s in shares], dtype="float64"), "close": pd.Series([s is not None and s >= CLOSE for s in shares], dtype="bool")})

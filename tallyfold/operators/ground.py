@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import partial_score_udf
 from ..functions.text import strip
 
-CLOSE = 0.85
 RESULT = "struct<verified:boolean,score:double,method:string>"
 
 
@@ -42,11 +41,11 @@ def verify_quotes(rows: DataFrame, quote: str = "quote", page: str = "text", sou
     tried = rows.withColumn("_tier", exact_tiers(F.col(quote), F.col(page)))
     left = lambda c: F.when(F.col("_tier").isNull(), _spaced(F.coalesce(F.col(c), F.lit(""))))
     rest = tried.withColumn("_score", partial_score_udf(left(quote), left(page)))
-    score = F.round("_score", 4)
+    score = F.col("_score.score")
     lost = _result(False, score, "not_found")
     if source:
         lost = F.when(F.col(source) == "image", _result(False, 0.0, "image_only")).otherwise(lost)
-    close = F.when(F.col("_score") >= CLOSE, _result(True, score, "fuzzy")).otherwise(lost)
+    close = F.when(F.col("_score.close"), _result(True, score, "fuzzy")).otherwise(lost)
     return rest.withColumn("grounding", F.coalesce("_tier", close)).drop("_tier", "_score")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import printed_amount, values_equal
@@ -11,13 +11,20 @@ from ..functions.numbers import printed_amount, values_equal
 ADDITIVE = ["count", "INR", "USD", "sq_ft"]
 LEAST, MOST = 3, 40
 KEY = ["entity_key", "period_key", "unit"]
+#: The width of a band of logarithms. Amounts that are equal as additive units are printed differ by 0.005 of the larger one, so by less than a band.
+BAND = 0.006
+
+
+def _band(value: Column) -> Column:
+    return F.floor(F.least(F.ln(value) / BAND, F.lit(1e6)))
 
 
 def arithmetic_edges(facts: DataFrame, new: DataFrame | None = None) -> DataFrame:
     """(big_id, small_id, total_id, place, explanation): big + small = total, as closely as the unit is printed.
 
     The three share entity, period and unit, have three attributes and come from two documents at least. Only
-    groups of LEAST to MOST facts are searched, so a group's triples are bounded. Both parts are below the total.
+    groups of LEAST to MOST facts are searched, so a group's pairs are bounded. Both parts are below the total. A sum meets
+    the totals of its own band of logarithms and of the two beside it, not all of the group's.
     With ``new`` (id) only groups that such a fact belongs to are searched, and each edge has one.
     """
     some = facts.where(F.col("unit").isin(*ADDITIVE) & (F.col("value_num") > 0))
@@ -32,7 +39,10 @@ def arithmetic_edges(facts: DataFrame, new: DataFrame | None = None) -> DataFram
     small, big, total = named("s"), named("b"), named("t")
     ordered = (F.col("s_value_num") < F.col("b_value_num")) | ((F.col("s_value_num") == F.col("b_value_num")) & (F.col("s_id") < F.col("b_id")))
     parts = small.join(big, KEY).where(ordered & (F.col("s_attribute_key") != F.col("b_attribute_key")))
-    three = parts.join(total, KEY).where(
+    parts = parts.withColumn("_band", _band(F.col("s_value_num") + F.col("b_value_num")))
+    near = _band(F.col("t_value_num"))
+    total = total.withColumn("_band", F.explode(F.sequence(near - 1, near + 1)))
+    three = parts.join(total, [*KEY, "_band"]).where(
         F.expr("s_is_new or b_is_new or t_is_new")
         & (F.col("b_value_num") < F.col("t_value_num"))
         & ~F.col("t_attribute_key").isin(F.col("s_attribute_key"), F.col("b_attribute_key"))

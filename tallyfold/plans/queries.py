@@ -310,6 +310,27 @@ def quote_grounding_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.verify_quotes(d.select("doc_id", "text", "quote")).select("doc_id", "grounding.*")
 
 
+_PLAIN = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))"
+#: Ten words of a page after its first thirty, every second one with a letter that the page does not have; such letters are all that is not shared.
+_EDITED = """list_transform(range(31, 41), lambda i: words[i] || case when i % 2 = 0 then '7' else '' end)"""
+
+
+@register(rf"""with d as (select doc_id, string_split({_PLAIN}, ' ') as words, {_PLAIN} as page from documents),
+q as (select doc_id, page, words, array_to_string(words[31:40], ' ') as base, array_to_string({_EDITED}, ' ') as quote, len(words) >= 80 and not contains({_PLAIN.replace("text", "page")}, '7') as fit from d)
+select doc_id, case when fit and length(quote) - length(base) = 5 and instr(page, base) > length(quote) and not contains(right(page, 2 * length(quote)), words[35]) then round(2 * length(base) / (2 * length(quote)), 4) end as score from q""")
+def quote_grounding_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each page with letters put in that it does not have, so what they share is known, unless the page's ends, where windows are shorter, have them too."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " "))
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text", plain.alias("page"), F.split(plain, " ").alias("words"))
+    some = F.slice("words", 31, 10)
+    quote = F.array_join(F.transform(some, lambda w, i: F.when(i % 2 == 1, F.concat(w, F.lit("7"))).otherwise(w)), " ")
+    d = d.withColumns({"base": F.array_join(some, " "), "quote": quote})
+    ends = F.expr("instr(page, base) > length(quote)") & ~F.expr("right(page, 2 * length(quote))").contains(F.try_element_at("words", F.lit(35)))
+    fit = (F.size("words") >= 80) & ~F.col("page").contains("7") & ends
+    told = ground.verify_quotes(d.withColumn("quote", F.when(F.size(some) == 10, F.col("quote"))))
+    return told.select("doc_id", F.when(fit, F.col("grounding.score")).alias("score"))
+
+
 @register("""select o_orderkey, array_to_string(list_filter([
   case when s in ('actual', 'unknown') and last_day(d) > date '1998-06-30' + 31 then 'period_after_publication' end,
   case when u = 'percent' and v > 1000 then 'percent_out_of_range' end,

@@ -112,9 +112,11 @@ def brute_common(a, b):
     return row[-1]
 
 
-def test_fuzzy_against_brute_force():
+@pytest.mark.parametrize("first", [0, 2, 96])
+def test_fuzzy_against_brute_force(monkeypatch, first):
     import random
 
+    monkeypatch.setattr(fuzzy, "FIRST", first)
     rng = random.Random(3)
     for _ in range(300):
         a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, n))) for n in (7, 18))
@@ -127,6 +129,18 @@ def test_fuzzy_against_brute_force():
         assert fuzzy.partial_ratio(a, b) == pytest.approx(best)
 
 
+def test_edited_quotes_are_settled_by_their_seeds(monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    monkeypatch.setattr(fuzzy, "_all_windows", lambda *_: pytest.fail("all windows"))
+    page = " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 9))) for _ in range(900))
+    for at in range(300, 3000, 270):
+        quote = page[at : at + 90]
+        assert fuzzy.partial_ratio(quote[:20] + "zz" + quote[20:50] + quote[51:], page) == pytest.approx(200 * 89 / (91 + 91), abs=0.6)
+    assert fuzzy.partial_ratio("😀abc", "xx😀abd") == 75.0
+
+
 def test_token_set_ratio():
     assert fuzzy.token_set_ratio("a b c", "b a") == 100
     assert fuzzy.token_set_ratio("", "a") == 0
