@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, numbers, periods
-from ..operators import block, classify, facts, ground, link, requests, tieout
+from ..operators import block, classify, facts, ground, link, requests, rounds, tieout
 from ..schemas import VIEW
 from ..sources import layers, memo, pages
 from ..tables import shared_dir, stored
@@ -695,3 +695,26 @@ def incremental_link_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, part in enumerate(("document_id < '4'", "document_id >= '4'")):
         link_batch(spark, all_views.where(part), folder, i, most=3)
     return spark.read.parquet(f"{folder}/relations").where("method = 'rule'").select("fact_a_id", "fact_b_id")
+
+
+@register("""select o_orderkey, case k when 1 then 5 when 4 then 3 when 5 then 5 else 40 end as cap, case k when 0 then 1 when 1 then 4 when 4 then 5 when 5 then 5 else 2 end as calls,
+  case k when 3 then 'llm_json' when 4 then 'tool_use_failed: too long' when 5 then 'llm_json' end as error, case when k < 3 then '{"facts": [' || o_custkey || ']}' end as response
+  from (select o_orderkey, o_custkey, o_orderkey % 6 as k from orders)""")
+def retried_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded answers of six sorts: good at once, too long until few facts are asked for, malformed once, malformed twice, always too long, too long and then malformed twice."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 6).alias("k"))
+    request = F.concat(F.lit("page "), F.col("o_orderkey").cast("string"))
+    good, bad, wrong = F.concat(F.lit('{"facts": ['), F.col("o_custkey").cast("string"), F.lit("]}")), F.lit('{"page_kind": "prose"}'), F.lit("facts: a list is missing")
+    call = lambda cap, repair: rounds.worded(request, F.lit(cap), bad, wrong if repair else F.lit(None).cast("string"))
+    long = F.lit("tool_use_failed: too long")
+    told = []  # cap, whether it is the second call, sorts of pages, answer, error
+    for cap in (40, 20, 10, 5, 3):
+        told.append((cap, False, [4] + ([1, 5] if cap > 5 else []), None, long))
+    told += [(40, False, [0], good, None), (5, False, [1], good, None), (40, False, [2, 3], bad, None), (40, True, [2], good, None), (40, True, [3], bad, None), (5, False, [5], bad, None), (5, True, [5], bad, None)]
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    each = F.array(*[F.when(F.col("k").isin(*ks), F.struct(call(cap, again).alias("request"), text(a).alias("response"), text(e).alias("error"))) for cap, again, ks, a, e in told])
+    records = o.select(F.explode(F.filter(each, lambda r: r.isNotNull())).alias("r")).select(memo.request_key(F.lit("extract"), F.col("r.request")).alias("key"), "r.response", "r.error")
+    records = stored(records, "records")
+    asked = o.select("o_orderkey", request.alias("request"), F.lit("m").alias("model"), F.lit("extract").alias("purpose"))
+    out = rounds.asked_in_rounds(asked, lambda calls: memo.answers(calls, records)[0])
+    return out.select("o_orderkey", "cap", "calls", "error", "response")

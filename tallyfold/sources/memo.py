@@ -30,7 +30,7 @@ def answers(requests: DataFrame, records: DataFrame, mode: str = "replay", provi
 
     answered: all requests with response and error. replay: only records answer, and other requests stay open with
     the error "llm_cache_miss". record: what records lack is asked of the provider and becomes a new record.
-    live: all is asked and nothing recorded. off: nothing is answered. Equal requests are asked once.
+    live: all is asked and nothing recorded. off: nothing is answered. Equal requests are asked once. Records may have errors, which replay then gives.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -38,10 +38,12 @@ def answers(requests: DataFrame, records: DataFrame, mode: str = "replay", provi
     none = spark.createDataFrame([], RECORD)
     if mode == "off":
         return requests.withColumns({"response": F.lit(None).cast("string"), "error": F.lit("llm_off")}), none
-    held = records.select("key", "response").dropDuplicates(["key"]) if mode != "live" else none.select("key", "response")
+    recorded = F.col("error") if "error" in records.columns else F.lit(None).cast("string")
+    held = records.select("key", "response", recorded.alias("_error")).dropDuplicates(["key"]) if mode != "live" else none.select("key", "response", F.lit(None).cast("string").alias("_error"))
     both = requests.join(held, "key", "left")
     if mode == "replay":
-        return both.withColumn("error", F.when(F.col("response").isNull(), "llm_cache_miss")), none
+        return both.withColumn("error", F.coalesce("_error", F.when(F.col("response").isNull(), "llm_cache_miss"))).drop("_error"), none
+    both = both.drop("_error")
     if provider is None:
         raise ValueError(f"mode {mode} needs a provider")
 
