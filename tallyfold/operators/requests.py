@@ -128,16 +128,21 @@ def open_pages(pages: DataFrame, now: Column, retry_failed: bool = False) -> Dat
     return pages.where(claimable(F.col("status"), F.col("attempts"), F.col("updated_at"), now)).orderBy("document_id", "page_index")
 
 
+def _open(relations: DataFrame) -> DataFrame:
+    rows = relations if "attempts" in relations.columns else relations.withColumn("attempts", F.lit(0))
+    return rows.where((F.col("status") == "pending_llm") & (F.col("attempts") < MOST_ATTEMPTS))
+
+
 def open_relations(relations: DataFrame) -> DataFrame:
     """Relations that wait for a judgement and have attempts left, in order."""
-    rows = relations if "attempts" in relations.columns else relations.withColumn("attempts", F.lit(0))
-    return rows.where((F.col("status") == "pending_llm") & (F.col("attempts") < MOST_ATTEMPTS)).orderBy(*PAIR)
+    return _open(relations).orderBy(*PAIR)
 
 
 def judgement_requests(relations: DataFrame, facts: DataFrame, documents: DataFrame) -> DataFrame:
     """(fact_a_id, fact_b_id, request, key) of open relations: the rule's guess and both facts' descriptions."""
-    told = describe_facts(facts, documents)
-    rows = open_relations(relations).select(*PAIR, "hypothesis")
+    rows = _open(relations).select(*PAIR, "hypothesis")
+    asked = rows.select(F.explode(F.array(*PAIR)).alias("id")).distinct()
+    told = describe_facts(facts.join(asked, "id", "left_semi"), documents)
     for p in ("a", "b"):
         rows = rows.join(told.select(F.col("id").alias(f"fact_{p}_id"), F.col("description").alias(f"_{p}")), f"fact_{p}_id")
     request = F.concat(F.lit("guess: "), "hypothesis", F.lit("\n\nfact a\n"), "_a", F.lit("\n\nfact b\n"), "_b")

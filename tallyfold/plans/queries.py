@@ -718,3 +718,17 @@ def retried_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = o.select("o_orderkey", request.alias("request"), F.lit("m").alias("model"), F.lit("extract").alias("purpose"))
     out = rounds.asked_in_rounds(asked, lambda calls: memo.answers(calls, records)[0])
     return out.select("o_orderkey", "cap", "calls", "error", "response")
+
+
+@register("""select o_orderkey, 'told: order ' || o_orderkey as response, null::varchar as error from orders""")
+def memo_record_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests recorded in two runs, of which the second asks only what is new, and then all replayed without a provider."""
+    import uuid
+
+    folder = f"{shared_dir(spark)}/memo-{uuid.uuid4().hex}"
+    text = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))
+    asked = _table(spark, sf_dir, "orders").select("o_orderkey", memo.request_key(F.lit("told"), text).alias("key"), F.lit("m").alias("model"), F.lit("told").alias("purpose"), text.alias("request"))
+    provider = lambda texts: [(f"told: {t}", None, None) for t in texts]
+    memo.stored_answers(asked.where("o_orderkey % 2 = 0"), folder, "first", "record", provider)
+    memo.stored_answers(asked, folder, "second", "record", provider)
+    return memo.stored_answers(asked, folder, "third").select("o_orderkey", "response", "error")

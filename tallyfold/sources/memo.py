@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,37 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).option("multiLine", True).json(path)
 
 
+def kept(spark: SparkSession, path: str, keys: DataFrame | None = None, run: str | None = None) -> DataFrame:
+    """The records of a store (RECORD), those of one run, or those of some keys (key) if given: then only the parts of their first two digits are read."""
+    try:
+        every = spark.read.schema(f"{RECORD}, run string, part string").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RECORD)
+    every = every if run is None else every.where(F.col("run") == run)
+    if keys is not None:
+        parts = [r["p"] for r in keys.select(F.substring("key", 1, 2).alias("p")).distinct().collect()]  # 256 at most
+        every = every.where(F.col("part").isin(parts)).join(keys.select("key").distinct(), "key", "left_semi")
+    return every.drop("run", "part")
+
+
+def keep(records: DataFrame, path: str, run: str) -> None:
+    """Writes the records (RECORD) of a run into a store, in the place of what that run wrote before."""
+    part = records.withColumn("part", F.substring("key", 1, 2))
+    part.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/run={run}")
+
+
+def stored_answers(requests: DataFrame, path: str, run: str, mode: str = "replay", provider: Callable[[pd.Series], list] | None = None) -> DataFrame:
+    """``answers`` from a store, to which the record mode adds what is new. In record mode what was answered before is not asked again."""
+    told, new = answers(requests, kept(requests.sparkSession, path, requests), mode, provider)
+    if mode == "record":
+        own = kept(requests.sparkSession, path, run=run)
+        told, new = stored(told, "answered"), stored(own.unionByName(new.select(*own.columns)), "new-records")
+        keep(new, path, run)
+    return told
+
+
 def answers(requests: DataFrame, records: DataFrame, mode: str = "replay", provider: Callable[[pd.Series], list[tuple[str | None, dict | None, str | None]]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(answered, new records) of requests (key, model, purpose, request).
 

@@ -43,7 +43,7 @@ def inventory(pages: DataFrame, has_images: Column | None = None) -> DataFrame:
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder as (storage_path, size_bytes, sha256, content); files over the size cap are left out."""
+    """Files of a folder as (storage_path, size_bytes, sha256, content); files over the size cap are left out, and Spark lists no empty ones."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= LARGEST)
     return files.select(F.col("path").alias("storage_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content")
 

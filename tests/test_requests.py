@@ -94,3 +94,27 @@ def test_a_cluster_needs_a_shared_folder():
 def test_numbers_are_consecutive(spark):
     df = spark.range(100).select((F.col("id") * 7 % 100).alias("o"))
     assert [(r["o"], r["id"]) for r in facts.numbered(df, ["o"], 5).orderBy("o").collect()] == [(i, i + 5) for i in range(100)]
+
+
+def test_records_are_kept_and_replayed(spark):
+    folder, calls = f"{tables.shared_dir(spark)}/kept", []
+    asked = spark.createDataFrame([(f"{i:02x}k", "m", "p", f"r{i}") for i in range(20)], "key string, model string, purpose string, request string")
+    told = lambda texts: [(None, None, "llm_other") if t == "r7" else (f"answer to {t}", {"output": 1}, None) for t in texts]
+    assert {r["error"] for r in memo.stored_answers(asked, folder, "none").collect()} == {"llm_cache_miss"}
+    for _ in range(2):  # the same run again adds nothing twice
+        memo.stored_answers(asked.limit(10), folder, "a", "record", told)
+    first = memo.kept(spark, folder).count()
+    memo.stored_answers(asked, folder, "b", "record", told)
+    assert memo.kept(spark, folder).groupBy("key").count().where("count > 1").count() == 0 and first == 9
+    got = {r["request"]: (r["response"], r["error"]) for r in memo.stored_answers(asked, folder, "c").collect()}
+    assert got["r3"] == ("answer to r3", None) and got["r7"] == (None, "llm_cache_miss") and len(got) == 20 and calls == []
+    assert memo.kept(spark, folder, asked.where("request = 'r3'")).count() == 1
+
+
+def test_files_are_read_with_their_digests(spark, tmp_path):
+    import hashlib
+
+    for name, content in (("a.pdf", b"one"), ("b.pdf", b""), ("c.bin", bytes(range(256)))):
+        (tmp_path / name).write_bytes(content)
+    got = {r["storage_path"].rsplit("/", 1)[1]: (r["size_bytes"], r["sha256"], bytes(r["content"])) for r in pages.read_binary(spark, str(tmp_path)).collect()}
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest(), c) for n, c in (("a.pdf", b"one"), ("c.bin", bytes(range(256))))}
