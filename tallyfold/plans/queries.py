@@ -11,6 +11,7 @@ from ..functions import keys, numbers, periods
 from ..operators import block, classify, facts, ground, link, requests, rounds, tieout
 from ..schemas import VIEW
 from ..sources import layers, memo, pages
+from ..streaming import page_states as page_states_of
 from ..tables import shared_dir, stored
 from . import views
 from .workload import FAILURES, ORDER_FACTS, PAGES, PUBLISHERS, QUANTITY_FACTS, load
@@ -732,3 +733,62 @@ def memo_record_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     memo.stored_answers(asked.where("o_orderkey % 2 = 0"), folder, "first", "record", provider)
     memo.stored_answers(asked, folder, "second", "record", provider)
     return memo.stored_answers(asked, folder, "third").select("o_orderkey", "response", "error")
+
+
+_LOG = """select user_id % 20 as d, user_id as page_index, event_id as seq, epoch(ts)::bigint as moment,
+  case event_type when 'signup' then 'registered' when 'click' then 'claimed' when 'purchase' then 'done' when 'error' then 'failed' when 'view' then case when event_id % 3 = 0 then 'retry' when event_id % 3 = 1 then 'paused' else 'claimed' end end as kind from events"""
+_STATES = f"""e as ({_LOG}), listed as (select d, page_index, list({{'s': null::varchar, 'a': 0, 'c': 0::bigint, 'r': 0::bigint, 'u': 0::bigint, 'k': kind, 't': moment}} order by seq) as l from e where kind is not null group by all),
+folded as (select d, page_index, list_reduce(l, lambda z, e: case
+  when z.s is null then case when e.k = 'registered' then {{'s': 'pending', 'a': 0, 'c': 0::bigint, 'r': 0::bigint, 'u': e.t, 'k': null::varchar, 't': 0::bigint}} else z end
+  when e.k = 'claimed' and (z.s = 'pending' or (z.s = 'failed' and z.a < 3) or (z.s = 'processing' and z.u < e.t - 40000)) then {{'s': 'processing', 'a': z.a + 1, 'c': z.c + 1, 'r': z.r, 'u': e.t, 'k': null::varchar, 't': 0::bigint}}
+  when e.k = 'claimed' then {{'s': z.s, 'a': z.a, 'c': z.c, 'r': z.r + 1, 'u': z.u, 'k': null::varchar, 't': 0::bigint}}
+  when e.k = 'retry' and z.s = 'failed' then {{'s': z.s, 'a': 0, 'c': z.c, 'r': z.r, 'u': e.t, 'k': null::varchar, 't': 0::bigint}}
+  when e.k in ('done', 'failed') and z.s = 'processing' then {{'s': e.k, 'a': z.a, 'c': z.c, 'r': z.r, 'u': e.t, 'k': null::varchar, 't': 0::bigint}}
+  when e.k = 'paused' and z.s = 'processing' then {{'s': 'pending', 'a': z.a - 1, 'c': z.c, 'r': z.r, 'u': e.t, 'k': null::varchar, 't': 0::bigint}}
+  else z end, {{'s': null::varchar, 'a': 0, 'c': 0::bigint, 'r': 0::bigint, 'u': 0::bigint, 'k': null::varchar, 't': 0::bigint}}) as z from listed),
+states as (select 'doc' || d as document_id, page_index, z.s as status, z.a as attempts, z.c as claims, z.r as refused, z.u as updated from folded where z.s is not null)"""
+
+
+def _page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a log of a user's page: read in four parts, the stream being cut short and run again in the second."""
+    import uuid
+
+    from pyspark.errors import StreamingQueryException
+
+    folder, e = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}", _table(spark, sf_dir, "events")
+    third = F.col("event_id") % 3
+    view = F.when(third == 0, "retry").when(third == 1, "paused").otherwise("claimed")
+    kind = F.when(F.col("event_type") == "view", view)
+    for name, meant in {"signup": "registered", "click": "claimed", "purchase": "done", "error": "failed"}.items():
+        kind = kind.when(F.col("event_type") == name, meant)
+    at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+    at = F.round(at / 1_000_000).cast("long")  # as a cast does in the SQL
+    log = e.select(F.concat(F.lit("doc"), (F.col("user_id") % 20).cast("string")).alias("document_id"), F.col("user_id").alias("page_index"), F.col("event_id").alias("seq"), kind.alias("kind"), at.alias("at"))
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.col("seq") * 4 / (last + 1))
+
+    def crash(number: int) -> None:
+        raise RuntimeError("cut short")
+
+    for i in range(4):
+        log.where(part == i).write.mode("append").parquet(f"{folder}/in")
+        for told in (crash, None) if i == 1 else (None,):
+            stream = spark.readStream.schema(page_states_of.EVENT).parquet(f"{folder}/in")
+            try:
+                page_states_of.fold_stream(stream, f"{folder}/out", f"{folder}/checkpoint", lease_s=40_000, written=told).awaitTermination()
+            except StreamingQueryException:
+                if told is None:
+                    raise
+    return page_states_of.current(spark, f"{folder}/out")
+
+
+@register(f"with {_STATES} select * from states")
+def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_states(spark, sf_dir)
+
+
+@register(f"""with {_STATES}, n as (select document_id, count_if(status = 'pending')::bigint as pending, count_if(status = 'processing')::bigint as processing, count_if(status = 'done')::bigint as done, count_if(status = 'failed')::bigint as failed,
+  count_if(status = 'skipped')::bigint as skipped, count_if(status in ('pending', 'processing') or (status = 'failed' and attempts < 3))::bigint as remaining, sum(claims) as c from states group by 1)
+select * exclude (c), case when remaining = 0 then 'extracted' when c = 0 then 'uploaded' else 'processing' end as state from n""")
+def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_states_of.document_states(_page_states(spark, sf_dir))
