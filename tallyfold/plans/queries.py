@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, numbers, periods
 from ..operators import block, classify, facts, ground, link, requests, rounds, tieout
 from ..schemas import VIEW
-from ..sources import layers, memo, pages
+from ..sources import layer_store, layers, memo, pages
 from ..streaming import page_states as page_states_of
 from ..tables import shared_dir, stored
 from . import views
@@ -792,3 +792,51 @@ def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 select * exclude (c), case when remaining = 0 then 'extracted' when c = 0 then 'uploaded' else 'processing' end as state from n""")
 def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_states_of.document_states(_page_states(spark, sf_dir))
+
+
+_LAYER = {"documents": "document_id string, title string", "pages": "document_id string, page_index long, text string", "facts": "id long, document_id string, value_num long", "failures": "id long, document_id string, kind string", "relations": "fact_a_id long, fact_b_id long, verdict string"}
+
+
+def _layer(spark: SparkSession, sf_dir: str, tag: str, where: str) -> dict[str, DataFrame]:
+    """Sources as documents, their documents as pages and facts, each related to the next one by doc_id."""
+    d = _table(spark, sf_dir, "documents").where("source is not null").select("doc_id", F.col("source").alias("document_id"), F.md5("source").alias("m"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text"), F.coalesce("n_chars", F.lit(0)).alias("n")).where(where)
+    return {
+        "documents": d.select("document_id", F.concat(F.lit(tag), "document_id").alias("title")).distinct(), "pages": d.select("document_id", F.col("doc_id").alias("page_index"), "text"),
+        "facts": d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), "document_id", F.col("n").cast("long").alias("value_num")), "failures": d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("id"), "document_id", F.lit(tag).alias("kind")),
+        "relations": d.where("doc_id % 5 < 4").select(F.col("doc_id").alias("fact_a_id"), (F.col("doc_id") + 1).alias("fact_b_id"), F.lit(tag).alias("verdict")),
+    }
+
+
+@register("""with d as (select doc_id, source, substr(md5(source), 1, 1) as m, md5(coalesce(text, '')) as t, coalesce(n_chars, 0) as n from documents where source is not null),
+x as (select *, m < '8' and doc_id % 3 <> 0 as again, source in (select source from d where m < '8' and doc_id % 3 <> 0) as replaced, m >= 'e' as deleted from d),
+f as (select * from x where doc_id % 5 <> 0 and (not replaced or again)),
+r as (select a.doc_id as i, a.doc_id + 1 as j, case when a.again then 'second ' else 'first ' end as v from f a left join x b on b.doc_id = a.doc_id + 1 where a.doc_id % 5 < 4 and not a.deleted and not coalesce(b.deleted and b.doc_id % 5 <> 0, false)
+  and (a.again or not coalesce(b.replaced and b.doc_id % 5 <> 0, false)))
+select distinct 'documents' as name, source as key, case when replaced then 'second ' else 'first ' end || source as content from x where not deleted
+union all select 'pages', source || '/' || doc_id, t from x where not deleted and (not replaced or again)
+union all select 'facts', source || '/' || doc_id, n::varchar from f where not deleted
+union all select 'failures', source || '/' || doc_id, case when again then 'second ' else 'first ' end from x where doc_id % 5 = 0 and (not replaced or again)
+union all select 'relations', i || '/' || j, v from r""")
+def layer_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of a stored layer after half of its documents were replaced, at the second try, and some deleted."""
+    import uuid
+
+    def fail(step: str) -> None:
+        if step == "manifest":
+            raise InterruptedError(step)
+
+    folder = f"{shared_dir(spark)}/layer-{uuid.uuid4().hex}"
+    store = layer_store.LayerStore(spark, folder, _LAYER)
+    store.replace(_layer(spark, sf_dir, "first ", "true"))
+    second = _layer(spark, sf_dir, "second ", "m < '8' and doc_id % 3 <> 0")
+    try:
+        layer_store.LayerStore(spark, folder, _LAYER, on_step=fail).replace(second)
+    except InterruptedError:
+        store.replace(second)
+    documents = store.read("documents")
+    store.delete(documents.where(F.md5("document_id") >= "e"))
+    t = store.tables()
+    owned = lambda name, key, content: t[name].select(F.lit(name).alias("name"), F.concat("document_id", F.lit("/"), F.col(key).cast("string")).alias("key"), F.col(content).cast("string").alias("content"))
+    out = t["documents"].select(F.lit("documents").alias("name"), F.col("document_id").alias("key"), F.col("title").alias("content"))
+    related = t["relations"].select(F.lit("relations").alias("name"), F.concat(F.col("fact_a_id").cast("string"), F.lit("/"), F.col("fact_b_id").cast("string")).alias("key"), F.col("verdict").alias("content"))
+    return out.union(owned("pages", "page_index", "text")).union(owned("facts", "id", "value_num")).union(owned("failures", "id", "kind")).union(related)
