@@ -50,3 +50,20 @@ def test_batches_are_paired_as_in_a_full_pass(spark, monkeypatch):
     keys = spark.createDataFrame([("group", "india|2024-04-01:2025-03-31|count"), ("count", "a:export")], "kind string, key string")
     some = postings.touched(index, keys, live)
     assert {r["kind"] for r in some.collect()} == {"group", "count"} and some.count() < live.where("kind in ('group', 'count')").count()
+
+
+def test_large_classes_are_paired_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(block, "CHUNK", 4)
+    df = drawn(spark, 80, 5)
+    made = {tuple(r) for r in block.scored_pairs(df).select("a_id", "b_id", "score").collect()}
+    new = df.where("id % 5 = 0").select("id")
+    rows = block.paired(df, ["value_num", "unit"], new).collect()
+    assert {(r["a_id"], r["b_id"], r["score"]) for r in rows} == {m for m in made if m[0] % 5 == 0 or m[1] % 5 == 0}
+    known = {r["id"]: (r["document_id"], r["unit"], r["value_num"], r["attribute_key"]) for r in df.collect()}
+    assert all((r["a_unit"], r["a_value_num"]) == known[r["a_id"]][1:3] and (r["b_unit"], r["b_value_num"]) == known[r["b_id"]][1:3] for r in rows)
+    assert all(a < b and known[a][0] != known[b][0] and known[a][1] == known[b][1] for a, b, _ in made)
+    sizes = block._chunks(block.members(df), []).selectExpr("size(facts) as n").collect()
+    assert sum(r["n"] for r in sizes) == df.where("value_num is not null").count() and max(r["n"] for r in sizes) < 20
+    # Pairs of facts are made where the arrays meet: no exchange is by a fact of a pair.
+    plan = block.paired(df, ["value_num"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a_id" not in plan and "hashpartitioning(probe" not in plan
