@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import DIMENSIONS, VIEW
 from ..tables import stored
-from .block import MOST_PARTNERS, build_candidates, candidates_of
-from .classify import as_pairs, classify_pairs
+from .block import MOST_PARTNERS, build_candidates, candidates_of, paired
+from .classify import RULED, as_pairs, classify_pairs
 from .postings import Index, candidates, groups
 from .tieout import arithmetic_edges, derived_relations
 
@@ -31,21 +31,32 @@ def rule_pass(views: DataFrame, unpaired: DataFrame, existing: DataFrame, most:
     cap of new facts' partners asks for, and only groups with a new fact are tied out.
     """
     new = unpaired.select("id").distinct()
-    if views.join(new, "id", "left_anti").limit(1).count():
-        pairs = candidates_of(views, new, most)
-    else:
-        pairs, new = build_candidates(views, most), None
     old = existing.select(*PAIR)
-    pairs = pairs.select("a_id", "b_id").join(old.select(F.col("fact_a_id").alias("a_id"), F.col("fact_b_id").alias("b_id")), ["a_id", "b_id"], "left_anti")
-    ruled = classify_pairs(as_pairs(pairs, views)).withColumn("explanation", F.col("hypothesis"))
-    derived = derived_relations(arithmetic_edges(views, new)).join(old, PAIR, "left_anti").join(ruled.select(*PAIR), PAIR, "left_anti")
+    if not views.join(new, "id", "left_anti").limit(1).count():
+        new = None
+    if most is None:
+        rows = paired(views, RULED, new)
+    else:
+        rows = as_pairs((build_candidates(views, most) if new is None else candidates_of(views, new, most)).select("a_id", "b_id"), views, RULED)
+    if new is not None:  # only relations of new facts can be among those that are made; mostly there are none yet
+        either = [old.join(new.select(F.col("id").alias(c)), c, "left_semi") for c in PAIR]
+        old = stored(either[0].unionByName(either[1]), "related")
+    related = old.limit(1).count() > 0
+    if related:
+        rows = rows.join(old.select(F.col("fact_a_id").alias("a_id"), F.col("fact_b_id").alias("b_id")), ["a_id", "b_id"], "left_anti")
+    ruled = classify_pairs(rows).withColumn("explanation", F.col("hypothesis"))
+    derived = derived_relations(arithmetic_edges(views, new))
+    derived = stored(derived.join(old, PAIR, "left_anti") if related else derived, "derived")
+    if derived.limit(1).count():
+        ruled = stored(ruled, "ruled")
+        derived = derived.join(ruled.select(*PAIR), PAIR, "left_anti")
     return ruled.unionByName(derived)
 
 
 def indexed_rule_pass(index: Index, new: DataFrame, live: DataFrame, most: int | None = MOST_PARTNERS) -> DataFrame:
     """The relations of ``rule_pass`` for new facts (VIEW) that an index holds already, from the facts of their entities and groups alone."""
     pairs, facts = candidates(index, new, live, most)
-    ruled = classify_pairs(as_pairs(pairs.select("a_id", "b_id"), facts)).withColumn("explanation", F.col("hypothesis"))
+    ruled = classify_pairs(as_pairs(pairs.select("a_id", "b_id"), facts, RULED)).withColumn("explanation", F.col("hypothesis"))
     derived = derived_relations(arithmetic_edges(stored(groups(index, new, live), "groups"), new))
     return ruled.unionByName(derived.join(ruled.select(*PAIR), PAIR, "left_anti"))
 
