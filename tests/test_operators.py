@@ -170,3 +170,31 @@ def test_page_to_facts(spark):
     assert made[0]["validator_flags"] == ["period_after_publication"]
     kinds = {r["kind"] for r in ground.evidence_failures(facts.build_facts(found, pages, documents)).collect()}
     assert kinds == {"image_only_evidence", "validator"}
+
+
+def test_classes_of_one_document_make_no_pairs(spark):
+    facts = views(spark, {"id": 1, "document_id": "a"}, {"id": 2, "document_id": "a"}, {"id": 3, "document_id": "a", "entity_key": "government india"}, {"id": 4, "document_id": "b", "entity_key": "government india"})
+    between = block.class_pairs(block.classes(block.members(facts)))
+    # The class of the first two facts is in one document, and so not paired with itself.
+    assert between.where("p_class = q_class").count() == 1 and between.count() == 3
+    assert {(r["a_id"], r["b_id"]) for r in block.build_candidates(facts, 1).collect()} == {(1, 4)}
+
+
+def test_capped_pairs_are_made_where_they_are_taken(spark):
+    facts = views(spark, *[{"id": i, "document_id": str(i % 3)} for i in range(300)]).coalesce(1)
+    made = [tuple(r) for r in block.scored_pairs(facts).collect()]
+    kept = block.build_candidates(facts, 4)
+    assert {(r["a_id"], r["b_id"]) for r in kept.collect()} == greedy(made, 4)
+    # Facts and classes are all that is shuffled for the pass: no list of pairs is.
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(family" in plan and "hashpartitioning(p#" not in plan and "Window" not in plan
+
+
+def test_tieout_shuffles_facts_once(spark):
+    facts = views(spark, *[{"id": i, "document_id": str(i), "attribute_key": f"a{i}", "value_num": float(i + 1), "unit": "count"} for i in range(40)])
+    edges = tieout.arithmetic_edges(facts)
+    want = {(b - 1, s - 1, b + s - 1) for b in range(1, 41) for s in range(1, b) if b + s <= 40}
+    assert {(r["big_id"], r["small_id"], r["total_id"]) for r in edges.collect()} == want
+    assert tieout.arithmetic_edges(facts.unionByName(facts.limit(1).withColumn("id", F.lit(99).cast("long")))).count() == 0
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("== Initial Plan ==")[-1] and plan.split("== Initial Plan ==")[-1].count("Exchange") == 1
