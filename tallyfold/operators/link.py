@@ -30,14 +30,15 @@ def rule_pass(views: DataFrame, unpaired: DataFrame, existing: DataFrame, most:
     rule's relation comes before a tie-out's for the same pair. Old facts are read, but paired only as far as the
     cap of new facts' partners asks for, and only groups with a new fact are tied out.
     """
-    new = unpaired.select("id").distinct()
+    new = unpaired.select("id")
     old = existing.select(*PAIR)
     if not views.join(new, "id", "left_anti").limit(1).count():
         new = None
     if most is None:
         rows = paired(views, RULED, new)
     else:
-        rows = as_pairs((build_candidates(views, most) if new is None else candidates_of(views, new, most)).select("a_id", "b_id"), views, RULED)
+        pairs = build_candidates(views, most) if new is None else candidates_of(views, new, most)
+        rows = as_pairs(stored(pairs.select("a_id", "b_id"), "candidates"), views, RULED)  # stored, so that few pairs do not have all facts shuffled
     if new is not None:  # only relations of new facts can be among those that are made; mostly there are none yet
         either = [old.join(new.select(F.col("id").alias(c)), c, "left_semi") for c in PAIR]
         old = stored(either[0].unionByName(either[1]), "related")
