@@ -111,6 +111,15 @@ def test_records_are_kept_and_replayed(spark):
     assert memo.kept(spark, folder, asked.where("request = 'r3'")).count() == 1
 
 
+def test_a_run_that_records_for_the_first_time_is_written_once(spark, monkeypatch):
+    folder, labels = f"{tables.shared_dir(spark)}/once", []
+    monkeypatch.setattr(memo, "stored", lambda df, label: labels.append(label) or tables.stored(df, label))
+    asked = spark.createDataFrame([(f"{i:02x}k", "m", "p", f"r{i}") for i in range(20)], "key string, model string, purpose string, request string")
+    told = lambda texts: [(f"answer to {t}", {"output": 1}, None) for t in texts]
+    memo.stored_answers(asked, folder, "a", "record", told)
+    assert labels == ["answers"] and {tuple(r) for r in memo.kept(spark, folder).select("key", "model", "request", "response").collect()} == {(f"{i:02x}k", "m", f"r{i}", f"answer to r{i}") for i in range(20)}
+
+
 def test_files_are_read_with_their_digests(spark, tmp_path):
     import hashlib
 
