@@ -32,23 +32,22 @@ def worded(request: Column | str, cap: Column | str, previous: Column | str, wro
 def asked_in_rounds(requests: DataFrame, ask: Callable[[DataFrame], DataFrame], wrong: Callable[[Column], Column] = envelope_error, most: int = MOST_FACTS, least: int = LEAST_FACTS) -> DataFrame:
     """All columns of ``requests`` (request, model, purpose and whatever names a row) with response, error, cap and calls.
 
-    ask: what ``memo.answers`` makes of (key, model, purpose, request): the same rows with response and error. Each round asks all that is open at once
+    ask: what ``memo.answers`` makes of (key, model, purpose, request and more columns): the same rows with response and error, equal ones asked once. Each round asks all that is open at once
     and is stored, so a lost executor repeats a round and no earlier one. An answer that overflowed is asked for half as many facts, down to
     ``least``, from the start; a malformed one once more with its error, then it is llm_json. Other errors end a row as they are. As the cap halves
     and a cap has two calls at most, rounds are few and known before.
     """
     own = requests.columns
+    aside = [c for c in own if c in ("key", "request")]
     state = {"_cap": F.lit(most), "_calls": F.lit(0), "_wrong": F.lit(None).cast("string"), "_previous": F.lit(None).cast("string")}
     open_rows, done, caps = requests.withColumns(state), None, [most]
     while caps[-1] > least:
         caps.append(max(least, caps[-1] // 2))
     for _ in range(2 * len(caps)):
-        text = worded("request", "_cap", "_previous", "_wrong")
-        worded_rows = open_rows.withColumn("_text", text)
-        calls = worded_rows.select("_text", "model", "purpose").dropDuplicates(["_text", "purpose"])
-        told = ask(calls.select(request_key(F.col("purpose"), F.col("_text")).alias("key"), "model", "purpose", F.col("_text").alias("request")))
-        told = told.select(F.col("request").alias("_text"), "purpose", F.col("response").alias("_response"), F.col("error").alias("_error"))
-        both = worded_rows.join(told, ["_text", "purpose"], "left")
+        # The rows are the calls, so they are shuffled once a round; a call's text goes to the model only.
+        named = open_rows.withColumnsRenamed({c: f"_own_{c}" for c in aside}).withColumn("request", worded("_own_request", "_cap", "_previous", "_wrong")).drop("_previous")
+        told = ask(named.withColumn("key", request_key(F.col("purpose"), F.col("request")))).withColumnsRenamed({"response": "_response", "error": "_error"})
+        both = told.drop("key", "request").withColumnsRenamed({f"_own_{c}": c for c in aside})
         overflow = F.coalesce(F.col("_error").contains(OVERFLOW), F.lit(False))
         bad = F.when(F.col("_error").isNull(), wrong(F.col("_response")))
         again = (overflow & (F.col("_cap") > least)) | (bad.isNotNull() & F.col("_wrong").isNull())

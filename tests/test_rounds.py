@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from tallyfold.operators import rounds
 from tallyfold.sources import memo
@@ -40,3 +41,23 @@ def test_records_may_have_errors(spark):
     told = {r["key"]: (r["response"], r["error"]) for r in memo.answers(asked, records)[0].collect()}
     assert told == {"a": ("told", None), "b": (None, "tool_use_failed"), "c": (None, "llm_cache_miss")}
     assert memo.answers(asked, records)[0].columns == [*asked.columns, "response", "error"]
+
+
+def test_rounds_join_records_once_each(spark):
+    pages = spark.createDataFrame([(i, f"page {i}", "m", "extract", f"own {i}") for i in range(4)], "page_index long, request string, model string, purpose string, key string")
+    text = lambda i, cap: f"page {i}\nat most {cap} facts"
+    records = spark.createDataFrame([(text(0, 40), '{"facts": []}', None), (text(1, 40), None, "tool_use_failed"), (text(1, 20), '{"facts": [1]}', None)], "text string, response string, error string")
+    records = records.select(memo.request_key(F.lit("extract"), F.col("text")).alias("key"), "response", "error")
+    plans = []
+
+    def ask(calls):
+        told = memo.answers(calls, records)[0]
+        plans.append(told.drop("request", "key")._jdf.queryExecution().optimizedPlan().toString())
+        return told
+
+    got = rounds.asked_in_rounds(pages, ask)
+    rows = sorted((r["page_index"], r["key"], r["cap"], r["calls"], r["error"], r["response"]) for r in got.collect())
+    lost = "llm_cache_miss"
+    assert rows == [(0, "own 0", 40, 1, None, '{"facts": []}'), (1, "own 1", 20, 2, None, '{"facts": [1]}'), (2, "own 2", 40, 1, lost, None), (3, "own 3", 40, 1, lost, None)]
+    # A round's rows are the calls: they are neither gathered by text first nor joined with the answers afterwards.
+    assert len(plans) == 2 and all(p.count("Join") == 1 and p.count("Aggregate") == 1 for p in plans)
