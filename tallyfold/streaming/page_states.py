@@ -54,8 +54,9 @@ def page_changes(events: DataFrame, most_attempts: int = MOST_ATTEMPTS, lease_s:
     def fold(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         *state, last = kept.get if kept.exists else (None, 0, 0, 0, None, None)
         state = tuple(state)
-        new = pd.concat([f[["seq", "kind", "at"]] for f in frames]).sort_values(["seq", "kind", "at"])
-        for seq, kind, at in zip(new["seq"].tolist(), new["kind"].tolist(), new["at"].tolist()):
+        # Pages have few events each, which plain tuples sort much faster than frames.
+        new = [e for f in frames for e in zip(*[f[c].tolist() for c in ("seq", "kind", "at")], strict=True)]
+        for seq, kind, at in sorted(new):
             if last is None or seq > last:
                 state, last = _stepped(state, kind, at, most_attempts, lease_s), seq
         kept.update((*state, last))
