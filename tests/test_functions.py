@@ -145,3 +145,24 @@ def test_token_set_ratio():
     assert fuzzy.token_set_ratio("a b c", "b a") == 100
     assert fuzzy.token_set_ratio("", "a") == 0
     assert fuzzy.token_set_ratio("abc def", "abd deg") < 85
+
+
+def test_many_pairs_are_aligned_together(monkeypatch):
+    """Pairs of all lengths, in runs; strings of up to WIDE characters are not aligned window by window."""
+    import random
+
+    rng = random.Random(4)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    pairs = [("", ""), ("", "a"), ("ab", "xaby"), ("a😀\ud800b", "b\ud800a😀😀b")]
+    for n in (1, 2, 3, 63, 64, 65, 90, 130):
+        page = draw("abcdefg ", 200)
+        pairs += [(page[40 : 40 + n - 1] + "x", page), (page, draw("abchijk ", n)), (draw("xyz", n), page)]
+    whole = lambda a, b: max(200 * brute_common(a, b[max(0, e - len(a)) : e]) / (len(a) + min(e, len(b)) - max(0, e - len(a))) for e in range(1, len(b) + len(a)))
+    told = [100.0, 0.0, *(whole(*sorted(p, key=len)) for p in pairs[2:])]
+    assert fuzzy.partial_ratios(pairs) == pytest.approx(told)
+    monkeypatch.setattr(fuzzy, "WIDE", 60)
+    assert fuzzy.partial_ratios(pairs) == pytest.approx(told)
+    monkeypatch.setattr(fuzzy, "WIDE", 256)
+    monkeypatch.setattr(fuzzy, "TOGETHER", 500)
+    monkeypatch.setattr(fuzzy, "common_length", lambda *_: pytest.fail("one window"))
+    assert fuzzy.partial_ratios(pairs) == pytest.approx(told)

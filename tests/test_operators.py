@@ -154,6 +154,12 @@ def test_grounding(spark):
     assert got == ["exact", "normalized", "fuzzy", "not_found", "image_only", "not_found", "not_found"]
 
 
+def test_a_page_is_taken_apart_once(spark, capsys):
+    df = spark.createDataFrame([("GDP grw by 6.4", "Real GDP grew by 6.4 per cent.")], "quote string, text string")
+    ground.verify_quotes(df).explain()
+    assert capsys.readouterr().out.count("regexp_replace(lower(coalesce(text") == 1
+
+
 def test_page_to_facts(spark):
     page = "Real GDP grew by 6.4 per cent in 2024-25. Exports were US$ 45.6 bn."
     fact = {"entity": "India", "attribute": "Growth of real GDP", "value": "6.4", "unit": "per cent", "period": "2024-25", "quote": "GDP grew by 6.4 per cent", "estimate_type": "advance_estimate"}
