@@ -369,6 +369,30 @@ def test_components(spark):
     assert {r["node"]: r["root"] for r in got} == root
 
 
+@pytest.mark.parametrize("no_hubs", [0, components.NO_HUBS] if hasattr(components, "NO_HUBS") else [None])
+def test_few_edges_take_few_tasks(spark, monkeypatch, no_hubs):
+    """The driver keeps a record of each task: a small table's rounds have tasks by its edges, however many partitions are shuffled."""
+    if no_hubs is not None:
+        monkeypatch.setattr(components, "NO_HUBS", no_hubs)
+    pairs = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in pairs}
+    edges = spark.createDataFrame([(100 * i, 100 * i + j) for i in range(1, 9) for j in range(1, 90)], "a long, b long")
+    context, group = spark.sparkContext, f"few-edges-{no_hubs}"
+    try:
+        for k, v in pairs.items():
+            spark.conf.set(k, v)
+        context.setJobGroup(group, "components")
+        got = components.components(edges)
+        context.setJobGroup("others", "")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r["node"], r["root"]) for r in got.collect()} == {(100 * i + j, 100 * i) for i in range(1, 9) for j in range(90)}
+    told = context.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds}
+    assert 0 < sum(i.numTasks for s in stages if (i := told.getStageInfo(s))) < 1500
+
+
 # ---- PII
 
 
