@@ -2,16 +2,18 @@
 
 The index is a set of runs, one for each batch until several are merged. A run has rows of these kinds, each under a key:
 
-* ``each``: a named fact under every word of its entity's name; found by the rarest word of a new fact's name
-* ``chosen``: a named fact under the word of its name that was the rarest then; found by all words of a new fact's name
+* ``each``: a name under every word of it; found by the rarest word of a new fact's name
+* ``chosen``: a name under the word of it that was the rarest then; found by all words of a new fact's name
+* ``fact``: a named fact under unit and name; found by new facts whose names match that name
 * ``bare``: a fact without a name under unit and attribute word; found by all new facts
-* ``word``: a named fact under unit and attribute word; found by new facts without a name
-* ``group``: a fact that adds up under entity, period and unit, for tie-outs
+* ``word``: a name under unit and attribute word of one of its facts; found by new facts without a name
+* ``group``: what tie-outs read of a fact that adds up, under entity, period and unit
 * ``id``: a fact under its id
 * ``count``: an attribute word or name word and the number of its facts
 
-Names match if one holds all words of the other, so ``each`` finds the facts whose names hold a new fact's, and ``chosen``, with any word of
-theirs, those whose names a new fact's holds. A run's kind is dealt into buckets by a hash of the key, so many that a bucket has some BUCKET
+Names match if one holds all words of the other, so ``each`` finds the names that hold a new fact's, and ``chosen``, with any word of
+theirs, those that a new fact's holds. Names stand there once a run, whatever the number of their facts, so a run has about three rows for a fact
+of a name with several. A run's kind is dealt into buckets by a hash of the key, so many that a bucket has some BUCKET
 rows whatever the history's size; a key with more rows has buckets of its own. The manifest says which buckets there are; a
 lookup reads those of its keys and no others.
 """
@@ -29,13 +31,18 @@ from ..schemas import VIEW
 from ..tables import stored
 from .block import ANCHORS, MOST_PARTNERS, capped_pairs, near_enough
 from .tieout import ADDITIVE
+from .tieout import KEY as TIED_BY
 
 #: Rows of a bucket, and runs from which on small ones are merged.
 BUCKET, MOST_RUNS = 16_384, 8
 FACT = "id long, document_id string, entity_key string, attribute_key string, value_num double, unit string, period_key string, estimate_type string, basis_key string, attributed_to string, evidence_verified boolean, publication_date date"
 ROW = f"key string, n long, {FACT}"
 MANIFEST = "run string, kind string, bucket long, buckets long, rows long"
-KINDS = ("each", "chosen", "bare", "word", "group", "id", "count")
+KINDS = ("each", "chosen", "fact", "bare", "word", "group", "id", "count")
+#: What tie-outs read of a fact.
+TIED = (*TIED_BY, "id", "document_id", "attribute_key", "value_num")
+#: Kinds that hold names alone.
+NAMES = ("each", "chosen", "word")
 
 
 @dataclass(frozen=True)
@@ -89,27 +96,40 @@ def _group_key() -> Column:
     return _key("entity_key", "period_key", "unit")
 
 
+def _name_key() -> Column:
+    return _key("unit", "entity_key")
+
+
 def _adds_up() -> Column:
     return F.col("unit").isin(*ADDITIVE) & (F.col("value_num") > 0)
 
 
 def _entries(index: Index, facts: DataFrame, live: DataFrame) -> DataFrame:
-    """All rows of a run, with their kinds. Of a name the rarest word so far is chosen; any word of it would do, but one that few names have is found by few."""
-    some = stored(_words(facts), "words")
-    pairable, named = some.where(_pairable()), F.size("names") > 0
-    names = stored(pairable.select("id", F.explode("names").alias("w")), "names")
-    before = counts(index, names.select(F.concat(F.lit("n:"), "w").alias("key")).distinct(), live).select(F.substring("key", 3, 1 << 20).alias("w"), "n")
-    n = names.groupBy("w").agg(F.count(F.lit(1)).alias("n")).unionByName(before).groupBy("w").agg(F.sum("n").alias("n"))
-    rarest = names.join(n, "w").groupBy("id").agg(F.min(F.struct("n", "w")).alias("m")).select("id", F.col("m.w").alias("_w"))
-    own = lambda rows, kind, key: rows.select(F.lit(kind).alias("kind"), key.alias("key"), F.lit(None).cast("long").alias("n"), *VIEW)
-    each = pairable.where(named).withColumn("_w", F.explode("names"))
-    by_word = pairable.withColumn("_w", F.explode("words"))
-    counted = lambda c, mark: pairable.select(F.explode(c).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(F.lit("count").alias("kind"), F.concat(F.lit(mark), "w").alias("key"), "n", *[F.lit(None).cast(facts.schema[v].dataType).alias(v) for v in VIEW])
+    """All rows of a run, with their kinds. Of a name the rarest word so far is chosen; any word of it would do, but one that few names have is found by few.
+
+    Words are looked at once for each unit, attribute and name, and not for each fact.
+    """
+    pairable, named = facts.where(_pairable()), F.size("names") > 0
+    classes = stored(_words(pairable.groupBy("unit", "attribute_key", "entity_key").agg(F.count(F.lit(1)).alias("facts"))), "classes")
+    called = classes.where(named).groupBy("entity_key", "names").agg(F.sum("facts").alias("facts"))
+    names = stored(called.select("entity_key", "facts", F.explode("names").alias("w")), "names")
+    counted = stored(names.groupBy("w").agg(F.sum("facts").alias("n")), "counted")
+    n = counted
+    if live.limit(1).count():
+        before = counts(index, counted.select(F.concat(F.lit("n:"), "w").alias("key")), live).select(F.substring("key", 3, 1 << 20).alias("w"), "n")
+        n = counted.unionByName(before).groupBy("w").agg(F.sum("n").alias("n"))
+    rarest = names.join(n, "w").groupBy("entity_key").agg(F.min(F.struct("n", "w")).alias("m")).select("entity_key", F.col("m.w").alias("w"))
+    none = lambda c: F.lit(None).cast(facts.schema[c].dataType).alias(c)
+    own = lambda rows, kind, key, kept=tuple(VIEW): rows.select(F.lit(kind).alias("kind"), key.alias("key"), F.lit(None).cast("long").alias("n"), *[F.col(c) if c in kept else none(c) for c in VIEW])
+    count = lambda rows, mark: rows.select(F.lit("count").alias("kind"), F.concat(F.lit(mark), "w").alias("key"), "n", *[none(c) for c in VIEW])
+    by_word = classes.where(named).select("unit", "entity_key", F.explode("words").alias("w")).distinct()
+    attributes = classes.groupBy("attribute_key", "words").agg(F.sum("facts").alias("facts")).select("facts", F.explode("words").alias("w")).groupBy("w").agg(F.sum("facts").alias("n"))
+    of_names = F.size(tokens(F.coalesce("entity_key", F.lit("")))) > 0
+    bare = _words(pairable.where(~of_names)).withColumn("w", F.explode("words"))
     parts = [
-        own(each, "each", F.col("_w")), own(pairable.where(named).join(rarest, "id"), "chosen", F.col("_w")), own(by_word.where(~named), "bare", _key("unit", "_w")), own(by_word.where(named), "word", _key("unit", "_w")),
-        own(some.where(_adds_up()), "group", _group_key()),
-        some.select(F.lit("id").alias("kind"), F.col("id").cast("string").alias("key"), F.lit(None).cast("long").alias("n"), *[F.col(v) if v == "id" else F.lit(None).cast(facts.schema[v].dataType).alias(v) for v in VIEW]),
-        counted("words", "a:"), counted("names", "n:"),
+        own(names, "each", F.col("w"), ("entity_key",)), own(rarest, "chosen", F.col("w"), ("entity_key",)), own(by_word, "word", _key("unit", "w"), ("entity_key",)),
+        own(pairable.where(of_names), "fact", _name_key()), own(bare, "bare", _key("unit", "w")), own(facts.where(_adds_up()), "group", _group_key(), TIED),
+        own(facts, "id", F.col("id").cast("string"), ("id",)), count(attributes, "a:"), count(counted, "n:"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -122,13 +142,20 @@ def _write_run(index: Index, entries: DataFrame, run: str) -> DataFrame:
     rows = stored(entries, "entries")
     sizes = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     deal = F.create_map(*[F.lit(x) for k in KINDS for x in (k, max(1, -(-sizes.get(k, 0) // index.bucket)))])
-    heavy = rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > index.bucket)
-    dealt = rows.join(F.broadcast(heavy) if sum(sizes.values()) // index.bucket < 1_000_000 else heavy, ["kind", "key"], "left").withColumn("buckets", deal[F.col("kind")].cast("long"))
-    hashed, light = F.xxhash64("key"), F.col("_n").isNull()
-    dealt = dealt.withColumn("bucket", F.when(light, F.pmod(hashed, "buckets")).otherwise(F.col("buckets") + F.pmod(hashed, F.lit(1 << 40))))
-    salt = F.when(light, 0).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / index.bucket)))
+    dealt = rows.withColumn("_key", F.xxhash64("key")).withColumn("buckets", deal[F.col("kind")].cast("long")).withColumn("bucket", F.pmod("_key", "buckets"))
+    # A key of many rows makes its bucket large, so only keys of large buckets are counted, by their hashes.
+    large = stored(dealt.groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1.5 * index.bucket), "large").select("kind", "bucket")
+    if large.limit(1).count():
+        many = dealt.select("kind", "bucket", "_key").join(large, ["kind", "bucket"], "left_semi").groupBy("kind", "_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > index.bucket)
+        many = stored(many, "many")
+        dealt = dealt.join(F.broadcast(many) if sum(sizes.values()) // index.bucket < 1_000_000 else many, ["kind", "_key"], "left")
+    else:
+        dealt = dealt.withColumn("_n", F.lit(None).cast("long"))
+    light = F.col("_n").isNull()
+    dealt = dealt.withColumn("bucket", F.when(light, F.col("bucket")).otherwise(F.col("buckets") + F.pmod("_key", F.lit(1 << 40))))
+    salt = F.when(light, 0).otherwise(F.pmod(F.xxhash64("id", "entity_key"), F.ceil(F.col("_n") / index.bucket)))
     at = f"{index.path}/runs/run={run}"
-    dealt.withColumn("_salt", salt).repartition("kind", "bucket", "_salt").drop("_salt", "_n").write.mode("overwrite").partitionBy("kind", "bucket", "buckets").parquet(at)
+    dealt.withColumn("_salt", salt).repartition("kind", "bucket", "_salt").drop("_salt", "_n", "_key").write.mode("overwrite").partitionBy("kind", "bucket", "buckets").parquet(at)
     back = index.spark.read.schema(f"{ROW}, kind string, bucket long, buckets long").parquet(at)
     return back.groupBy("kind", "bucket", "buckets").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(run).alias("run"), "kind", "bucket", "buckets", "rows")
 
@@ -158,7 +185,9 @@ def _merged(index: Index, live: DataFrame, batch: int) -> DataFrame:
         total, some = total + n, [*some, run]
     rows = _paths_read(index, live.where(F.col("run").isin(some)))
     counts = rows.where("kind = 'count'").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    made = rows.where("kind != 'count'").select("kind", "key", "n", *VIEW).unionByName(counts, allowMissingColumns=True)
+    kept = rows.where("kind != 'count'").select("kind", "key", "n", *VIEW)
+    of_names = F.col("kind").isin(*NAMES)
+    made = kept.where(~of_names).unionByName(kept.where(of_names).dropDuplicates(["kind", "key", "entity_key"])).unionByName(counts, allowMissingColumns=True)
     merged = stored(live.where(~F.col("run").isin(some)).unionByName(_write_run(index, made, f"m{batch}")), "live")
     _publish(index, merged, 2 * batch)
     return merged
@@ -206,17 +235,22 @@ def partners(index: Index, some: DataFrame, live: DataFrame) -> DataFrame:
     A probe finds a partner that has one of its anchors, from another document, of the same unit, whose name matches.
     """
     own = stored(_words(some.select(*VIEW).where(_pairable())), "some")
-    names = own.select("id", F.explode("names").alias("w"))
-    n = counts(index, names.select(F.concat(F.lit("n:"), "w").alias("key")).distinct(), live).select(F.substring("key", 3, 1 << 20).alias("w"), "n")
-    rarest = names.join(n, "w").groupBy("id").agg(F.min(F.struct("n", "w")).alias("m")).select("id", F.col("m.w").alias("w"))
     nameless = F.size("names") == 0
-    by_word = own.select("id", "unit", nameless.alias("nameless"), F.explode("words").alias("w"))
-    asked = rarest.select("id", F.lit("each").alias("kind"), F.col("w").alias("key")).unionByName(names.select("id", F.lit("chosen").alias("kind"), F.col("w").alias("key")))
-    asked = asked.unionByName(by_word.select("id", F.lit("bare").alias("kind"), _key("unit", "w").alias("key"))).unionByName(by_word.where("nameless").select("id", F.lit("word").alias("kind"), _key("unit", "w").alias("key")))
-    asked = stored(asked.distinct(), "asked")
-    found = lookup(index, asked, live)
+    names = stored(own.where(~nameless).select("entity_key", "names").distinct().select("entity_key", "names", F.explode("names").alias("w")), "names")
+    n = counts(index, names.select(F.concat(F.lit("n:"), "w").alias("key")).distinct(), live).select(F.substring("key", 3, 1 << 20).alias("w"), "n")
+    rarest = names.join(n, "w").groupBy("entity_key", "names").agg(F.min(F.struct("n", "w")).alias("m")).select("entity_key", "names", F.col("m.w").alias("w"))
+    asked = rarest.select("entity_key", "names", F.lit("each").alias("kind"), F.col("w").alias("key")).unionByName(names.select("entity_key", "names", F.lit("chosen").alias("kind"), F.col("w").alias("key")))
+    found = lookup(index, asked, live).select("kind", "key", F.col("entity_key").alias("_y"))
+    met = found.join(asked, ["kind", "key"]).where(entities_match(F.col("names"), F.array_distinct(tokens(F.col("_y"))))).select("entity_key", "_y").distinct()
+    wanted = own.select("id", "unit", "entity_key").join(met, "entity_key").select("id", F.lit("fact").alias("kind"), _key("unit", "_y").alias("key"))
+    by_word = stored(own.select("id", "unit", nameless.alias("nameless"), F.explode("words").alias("w")).select("id", "unit", "nameless", _key("unit", "w").alias("key")), "by-word")
+    wanted = wanted.unionByName(by_word.select("id", F.lit("bare").alias("kind"), "key"))
+    if (alone := by_word.where("nameless").select("id", "unit", F.lit("word").alias("kind"), "key")).limit(1).count():
+        called = lookup(index, alone, live).select("key", F.col("entity_key").alias("_y")).join(alone, "key")
+        wanted = wanted.unionByName(called.select("id", F.lit("fact").alias("kind"), _key("unit", "_y").alias("key")))
+    wanted = stored(wanted.distinct(), "wanted")
     side = lambda rows, p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in VIEW])
-    hits = found.select("kind", "key", *[F.col(c).alias(f"y_{c}") for c in VIEW]).join(asked.select("kind", "key", F.col("id").alias("x_id")), ["kind", "key"]).drop("kind", "key")
+    hits = lookup(index, wanted, live).select("kind", "key", *[F.col(c).alias(f"y_{c}") for c in VIEW]).join(wanted.select("kind", "key", F.col("id").alias("x_id")), ["kind", "key"]).drop("kind", "key")
     both = hits.join(side(own, "x"), "x_id").where("x_document_id != y_document_id and x_id != y_id and x_unit = y_unit")
     both = stored(both.dropDuplicates(["x_id", "y_id"]), "hits")
     rare = stored(anchors(index, both.select(F.col("x_attribute_key").alias("attribute_key")).unionByName(both.select(F.col("y_attribute_key").alias("attribute_key"))), live), "anchors")
@@ -265,7 +299,7 @@ def candidates(index: Index, new: DataFrame, live: DataFrame, most: int | None =
 
 
 def groups(index: Index, new: DataFrame, live: DataFrame) -> DataFrame:
-    """All facts (VIEW) of the tie-out groups that new facts belong to."""
+    """All facts of the tie-out groups that new facts belong to: VIEW, of which columns that no tie-out reads are null."""
     keys = new.where(_adds_up()).select(F.lit("group").alias("kind"), _group_key().alias("key"))
     return lookup(index, keys, live).select(*VIEW)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import block, postings
 from tallyfold.schemas import VIEW
+from tallyfold.streaming.incremental import link_batch
 from tallyfold.tables import shared_dir
 
 from test_operators import greedy, views
@@ -67,3 +68,31 @@ def test_large_classes_are_paired_in_chunks(spark, monkeypatch):
     # Pairs of facts are made where the arrays meet: no exchange is by a fact of a pair.
     plan = block.paired(df, ["value_num"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a_id" not in plan and "hashpartitioning(probe" not in plan
+
+
+def test_large_batches_by_one_pass_and_small_ones_by_the_index_have_the_same_relations(spark):
+    df, folder, got = drawn(spark, 40, 7), f"{shared_dir(spark)}/batches", []
+    link_batch(spark, df.where("id % 4 = 0"), folder, 0, 2)
+    for large in (0.0, float("inf")):  # always a pass over all facts, and never; the second batch also has facts that are there already
+        link_batch(spark, df.where("id % 4 <= 1"), folder, 1, 2, bucket=16, large=large)
+        made = spark.read.parquet(f"{folder}/relations").where("method = 'rule'")
+        got.append(sorted((r["batch"], r["fact_a_id"], r["fact_b_id"], r["verdict"]) for r in made.collect()))
+    assert got[0] == got[1] and {g[0] for g in got[0]} == {0, 1}
+
+
+def test_names_stand_in_the_index_once_and_not_for_each_fact(spark):
+    facts = views(spark, *[{"id": i, "document_id": str(i % 3), "attribute_key": "gdp growth", "entity_key": "north india", "value_num": 1.0, "unit": "pp"} for i in range(40)])
+    live = postings.append(postings.Index(spark, f"{shared_dir(spark)}/index-names"), facts.select(*VIEW), 0)
+    rows = {r["kind"]: r["n"] for r in live.groupBy("kind").agg(F.sum("rows").alias("n")).collect()}
+    assert rows["each"] == 2 and rows["chosen"] == 1 and rows["word"] == 2 and sum(rows.values()) <= 3 * 40
+
+
+def test_a_capped_pass_for_new_facts_leaves_other_families(spark, monkeypatch):
+    df = drawn(spark, 120, 11).where("entity_key in ('india', 'china', 'government india')")
+    seen, pass_over = [], block.passed
+    monkeypatch.setattr(block, "passed", lambda own, *a: seen.append(own.count()) or pass_over(own, *a))
+    new = df.where("entity_key = 'china' and id % 3 = 0").select("id")
+    ids = {r["id"] for r in new.collect()}
+    got = {tuple(r) for r in block.candidates_of(df, new, 2).collect()}
+    assert got == {tuple(r) for r in block.build_candidates(df, 2).collect() if {r["a_id"], r["b_id"]} & ids} and got
+    assert seen[0] < seen[1]
