@@ -742,6 +742,75 @@ def test_search_holds_recall_without_structure(spark, monkeypatch):
     assert recall(nn_descent.sure_search(nodes, links, queries, pool=60, target=1.0)) == 1
 
 
+def plain_search(x, links, query, pool, share):
+    """The same greedy search of one query, in plain Python."""
+    measure = lambda i: float(((x[i] - x[query]) ** 2).sum())
+    held, done = {query: 0.0}, set()
+    todo = [query]
+    while todo:
+        done |= set(todo)
+        held |= {o: measure(o) for i in todo for o in links.get(i, ())}
+        held = dict(sorted(held.items(), key=lambda p: (p[1], p[0]))[:pool])
+        todo = [i for i in held if i not in done][: max(1, round(pool * share))]
+    return held
+
+
+def test_search_sends_pairs_as_ids_and_finds_what_a_plain_search_finds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 12)).astype(np.float32).astype(np.float64)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>")
+    links = {i: sorted({int(o) for o in rng.integers(0, 900, 5)} - {i}) for i in range(880)}
+    table = spark.createDataFrame([(i, o) for i, o in links.items()], "node long, others array<long>")
+    queries = nodes.where("node % 30 = 0").select(F.col("node").alias("query"), F.col("v").alias("q"))
+    monkeypatch.setattr(nn_descent, "PART", 200)
+    assert nn_descent.slim(nodes).schema["v"].dataType.simpleString() == "array<float>"
+    assert nn_descent.slim(nodes.selectExpr("node", "transform(v, c -> c / 3) as v")).schema["v"].dataType.simpleString() == "array<double>"
+    for some in (nodes, nn_descent.slim(nodes)):
+        got = {}
+        for r in nn_descent.greedy_search(some, table, queries, 20).collect():
+            got.setdefault(r["query"], {})[r["node"]] = r["d"]
+        assert got == {q: plain_search(x, links, q, 20, nn_descent.OPENED) for q in range(0, 900, 30)}
+
+
+def test_groups_of_a_round_meet_many_at_once(spark):
+    """One round against plain Python: neighbours and reverse neighbours of a node meet, and each keeps its six nearest there."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 6)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<float>")
+    start = {i: sorted(rng.choice([j for j in range(300) if j != i], 4, replace=False).tolist()) for i in range(300)}
+    away = lambda i, j: float(((x[i].astype(np.float64) - x[j]) ** 2).sum())
+    ranked = {i: sorted((away(i, j), j) for j in o) for i, o in start.items()}
+    new = {(i, j): int(rng.integers(0, 2)) for i, o in start.items() for j in o}
+    graph = spark.createDataFrame([(i, j, d, new[i, j], r + 1) for i, o in ranked.items() for r, (d, j) in enumerate(o)], "node long, other long, d double, new int, r int")
+    want = {i: dict((j, d) for d, j in o) for i, o in ranked.items()}
+    for via in range(300):
+        group = {}
+        for j in start[via]:
+            group[j] = group.get(j, 0) | new[via, j]
+        for _, i in sorted((away(i, via), i) for i, o in start.items() if via in o)[:16]:
+            group[i] = group.get(i, 0) | new[i, via]
+        for i in group:
+            near = sorted((away(i, j), j) for j in group if j != i and (group[i] or group[j]))
+            want[i].update({j: d for d, j in near[:6]})
+    got = {}
+    for r in nn_descent.descend(nodes, graph, degree=12, rounds=1).collect():
+        got.setdefault(r["node"], set()).add(r["other"])
+    assert got == {i: {j for _, j in sorted((d, j) for j, d in o.items())[:12]} for i, o in want.items()}
+
+
+def test_of_many_queries_the_sample_is_searched_first(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((1500, 24)).astype(np.float32))], "node long, v array<float>")
+    nodes = df.select("node", F.col("v").cast("array<double>").alias("v"))
+    queries = nodes.where("node % 50 = 0").select(F.col("node").alias("query"), F.col("v").alias("q"))
+    asked, kept = [], nn_descent.greedy_search
+    monkeypatch.setattr(nn_descent, "MANY", 20)
+    monkeypatch.setattr(nn_descent, "SAMPLE", 6)
+    monkeypatch.setattr(nn_descent, "greedy_search", lambda n, k, q, pool: asked.append((q.count(), pool)) or kept(n, k, q, pool, 2))
+    found = nn_descent.sure_search(nodes, nn_descent.search_links(nn_descent.start_graph(nodes)), queries, pool=12, target=0.0)
+    assert asked == [(6, 12), (30, 12)] and found.select("query").distinct().count() == 30
+
+
 def test_vectors_of_other_widths_take_no_part(spark):
     rows = [(i, [float(i), 1.0]) for i in range(30)] + [(100, [1.0]), (200, [1.0, 2.0, 3.0])]
     got = nn_descent.nearest_report(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
